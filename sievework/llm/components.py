@@ -1,0 +1,33 @@
+"""Connected components of a graph that no single task can hold."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sievework.llm.shared import materialize
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``component`` (the smallest node reachable) for every node of ``edges`` (``a``, ``b``, longs).
+
+    In each round every node points to its smallest neighbour, or to that one's, if smaller than itself; the edges are
+    then drawn between what the nodes point to. A component at least halves in each round, so the number of rounds is
+    the logarithm of the largest component's size. Rounds are written to the shared folder. Null ends and loops are
+    left out, and repeated edges count once; no edges give no rows.
+    """
+    edges = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels = materialize(ends.select("node", F.col("node").alias("component")), "labels")
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
+        least = materialize(least, "least")
+        upper = least.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        point = materialize(least.join(upper, "up").select("node", "top"), "pointers")
+        to = lambda c: point.select(F.col("node").alias(c), F.col("top").alias(f"{c}_top"))
+        drawn = edges.join(to("a"), "a").join(to("b"), "b").where("a_top <> b_top")
+        edges = materialize(drawn.select(F.least("a_top", "b_top").alias("a"), F.greatest("a_top", "b_top").alias("b")).distinct(), "edges")
+        moved = labels.join(to("component"), "component", "left").select("node", F.coalesce("component_top", "component").alias("component"))
+        labels = materialize(moved, "labels")
+    return labels
