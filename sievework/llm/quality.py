@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.shared import SPACE_CLASS, WORD_PATTERN, documents
+from sievework.llm.shared import SPACE_CLASS, WORD_PATTERN, documents, materialize
 
 #: Cells of the hashed n-grams; the table that is broadcast has as many rows at most.
 CELLS = 1 << 17
@@ -36,12 +36,19 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def repeated_words(words: Column, window: int = WINDOW) -> Column:
-    """Words that lie in a window found twice or more. Windows are compared by 64-bit hashes.
+def neighbours(hashes: Column, step: int) -> Column:
+    """The hash of each element with the one ``step`` places on."""
+    return F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - step, F.lit(0))), lambda x, i: F.xxhash64(x, hashes[i + step]))
 
-    The positions of repeated windows come from one sort; neighbouring windows count their common words once.
+
+def repeated_words(pairs: Column, n_words: Column) -> Column:
+    """Words that lie in a window of 8 words found twice or more, from the hashes of neighbouring words.
+
+    A window's 64-bit hash is made of those of its halves. The positions of repeated windows come from one sort;
+    neighbouring windows count their common words once.
     """
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (window - 1)), lambda i: F.xxhash64(F.slice(words, i, window)))
+    window = WINDOW
+    hashes = _let(neighbours(pairs, 2), lambda fours: neighbours(fours, 4))
 
     def covered(at: Column) -> Column:
         step = lambda p, k: F.when(k + 1 < F.size(at), F.least(F.lit(window), at[k + 1] - p)).otherwise(window)
@@ -53,7 +60,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
     placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     count = _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(placed(h), lambda s: _let(repeats(s), covered))))
-    return F.when(F.size(words) < window, F.lit(0)).otherwise(count).cast("long")
+    return F.when(n_words < window, F.lit(0)).otherwise(count).cast("long")
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -62,39 +69,34 @@ def duplicate_lines(text: Column) -> Column:
     return _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` with the hashes of the ``words`` and of ``pairs`` of neighbouring words."""
+    words = documents(docs).select("doc_id", "text", F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)).alias("words"))
+    one = words.select("doc_id", "text", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    return one.select("doc_id", "text", "words", neighbours(F.col("words"), 1).alias("pairs"))
+
+
 def base(docs: DataFrame) -> DataFrame:
-    """The counts of each text; ``words`` stays for what follows."""
-    worded = documents(docs).select("doc_id", "text", F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)).alias("words"))
+    """The counts of each text; the hashes stay for what follows."""
     n = F.size("words").cast("long")
-    counted = worded.select(
-        "doc_id", "words", n.alias("n_words"),
+    counted = hashed(docs).select(
+        "doc_id", "words", "pairs", n.alias("n_words"),
         F.length(F.regexp_replace("text", SPACE_CLASS + "+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        duplicate_lines(F.col("text")).alias("n_dup_lines"), repeated_words(F.col("words")).alias("n_repeat_words"),
+        duplicate_lines(F.col("text")).alias("n_dup_lines"), repeated_words(F.col("pairs"), n).alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 
 
-def cells(words: Column) -> Column:
-    """The cells of a text's words and of its pairs of neighbouring words."""
-    cell = lambda h: F.pmod(h, F.lit(CELLS)).cast("int")
-
-    def both(h: Column) -> Column:
-        pairs = F.transform(F.slice(h, 2, F.size(h)), lambda x, i: cell(F.xxhash64(h[i], x)))
-        return F.concat(F.transform(h, cell), pairs)
-
-    return F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(_let(F.transform(words, lambda w: F.xxhash64(w)), both))
-
-
 def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``cell`` and ``ratio``: the logarithm of target over raw frequency, in millionths."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     target = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS).withColumn("trusted", F.lit(1))
-    worded = documents(docs).select("doc_id", F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)).alias("words"))
-    flagged = worded.join(F.broadcast(target), "doc_id", "left")
-    grams = flagged.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(cells(F.col("words"))).alias("cell"))
-    counts = grams.groupBy("cell").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
+    flagged = hashed(docs).join(F.broadcast(target), "doc_id", "left")
+    grams = flagged.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(F.concat("words", "pairs")).alias("gram"))
+    counts = grams.groupBy(F.pmod("gram", F.lit(CELLS)).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
+    counts = materialize(counts, "cells")
     whole = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target")).first()
     n_raw, n_target = float(whole["all_raw"] or 0), float(whole["all_target"] or 0)
     share = lambda c, n: (F.col(c) + SMOOTHING) / F.lit(n + SMOOTHING * CELLS)
@@ -104,12 +106,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Each row's counts, ``base_failed``, ``score`` and ``kept``."""
-    from sievework.llm.shared import materialize
-
-    ratios = materialize(log_ratios(docs, labels), "log-ratios")
+    ratios = log_ratios(docs, labels)
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rows = base(docs).select(F.monotonically_increasing_id().alias("row"), *counts, cells(F.col("words")).alias("cells"))
-    grams = rows.select("row", *counts, F.explode_outer("cells").alias("cell"))
+    rows = base(docs).select(F.monotonically_increasing_id().alias("row"), *counts, F.explode_outer(F.concat("words", "pairs")).alias("gram"))
+    grams = rows.select("row", *counts, F.pmod("gram", F.lit(CELLS)).cast("int").alias("cell"))
     summed = grams.join(F.broadcast(ratios), "cell", "left").groupBy("row").agg(*(F.first(c).alias(c) for c in counts), F.sum("ratio").alias("total"), F.count("cell").alias("n_grams"))
     score = F.when(F.col("n_grams") > 0, F.col("total") / F.col("n_grams") / MILLION)
     kept = ~F.col("base_failed") & (F.coalesce(score, F.lit(0.0)) >= threshold)
