@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import bpe, exact_dedup, jaccard_join, packing, quality
+from sievework.llm import bpe, chat, exact_dedup, jaccard_join, packing, quality, secrets, urls
 from sievework.llm.shared import table
 
 
@@ -18,6 +18,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digests(chat.with_escape_case(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -33,6 +45,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_url_filter": op5_url_filter,
+    "op7_chat": op7_chat,
     "op6_jaccard_join": op6_jaccard_join,
     "op10_packing": op10_packing,
     "op8_quality_rules": op8_quality_rules,
@@ -40,4 +55,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op7_chat": chat.ORACLE,
 }
