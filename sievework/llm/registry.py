@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import bpe, chat, exact_dedup, jaccard_join, packing, quality, secrets, urls
+from sievework.llm import bpe, chat, exact_dedup, jaccard_join, packing, quality, secrets, toxicity, urls
 from sievework.llm.shared import table
 
 
@@ -34,6 +34,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op7_chat": op7_chat,
     "op6_jaccard_join": op6_jaccard_join,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
     "op8_quality_rules": op8_quality_rules,
 }
