@@ -1,10 +1,10 @@
 """Byte-level BPE: encoding of distinct words over a prefix trie, and decoding.
 
-A text is cut into words by the vocabulary's pattern; special strings cut first. Each worker keeps a trie of the
-distinct words that it has met. A trie node stands for a prefix, and its state is the last token of the prefix's
-encoding with a link to the node before that token. A depth-first walk derives a node's state from its ancestors': the
-one vocabulary entry that ends the prefix and that the merges would leave standing beside the last token of what
-precedes it. So words that share a prefix share its encoding, and a word's ids are read by following the links.
+A text is cut into words by the vocabulary's pattern; special strings cut first. The distinct words that a worker
+hasn't met yet form a trie. A trie node stands for a prefix, and its state is the last token of the prefix's encoding.
+A depth-first walk derives a node's state from its ancestors': the one vocabulary entry that ends the prefix and that
+the merges would leave standing beside the last token of what precedes it. So words that share a prefix share its
+encoding, and a word's ids are read back from its end, last token by last token.
 
 Results for odd input: a null or empty text gives no ids and decodes to the empty text; ids outside the vocabulary
 are skipped in decoding, and bytes that aren't UTF-8 decode to U+FFFD. Repeated rows give repeated results. Long texts
@@ -13,6 +13,7 @@ are worked through in slices of words, so only their ids are held whole.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import itertools
 import json
@@ -27,8 +28,8 @@ from sievework.llm.shared import documents, small_batches
 
 #: The pattern of byte-level BPE vocabularies of this kind: a fixed value.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct words of a generation; a worker keeps two generations, and the trie of the later one.
-MAX_WORDS = 250_000
+#: Distinct words of a generation; a worker keeps two generations.
+MAX_WORDS = 400_000
 #: Words of a text that are handled at once.
 SLICE_WORDS = 200_000
 
@@ -95,59 +96,72 @@ class Vocabulary:
 
     def beside(self, a: int, b: int) -> bool:
         """Whether ``b`` may follow ``a``; remembered by ``a * size + b`` in ``pairs``."""
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > 1_000_000:
             self.pairs.clear()
         found = self.pairs[a * self.size + b] = self._unwound(a, b, float("inf"))
         return found
 
 
 class Trie:
-    """States by node: the last token of the prefix, and the node where that token begins. Node 0 is the root."""
+    """The distinct words as a prefix trie, walked depth-first: the words in sorted order, with the path to the last one.
+
+    For each prefix on the path ``last`` has the last token of its encoding, and ``matched`` which entries of the
+    vocabulary end it: the state of an automaton whose states are the prefixes of entries.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.child: dict[int, int] = {}
-        self.last = array("i", [-1])
-        self.before = array("i", [0])
-
-    def insert(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, tuple[int, ...]]]:
-        """The words in order with their ids. The order makes the walk depth-first: a shared prefix stays on the path."""
-        v = self.vocabulary
-        ids, pairs, size, longest = v.ids.get, v.pairs, v.size, v.longest
-        child, last, before = self.child, self.last, self.before
-        path, previous = [0], b""
+        self.width = [len(x) for x in vocabulary.pieces]
+        self.begins = {x[:k] for x in vocabulary.ids for k in range(1, len(x) + 1)} | {b""}
+        self.number = {b"": 0}
+        self.matches: list[bytes] = [b""]
+        self.endings: list[list[tuple[int, int]]] = [[]]
+        self.steps: dict[int, int] = {}
+
+    def _step(self, key: int) -> int:
+        """The state after a state and a byte: the longest ending that an entry begins with."""
+        match = self.matches[key >> 8] + bytes([key & 255])
+        while match not in self.begins:
+            match = match[1:]
+        if match not in self.number:
+            self.number[match] = len(self.matches)
+            self.matches.append(match)
+            ids = self.vocabulary.ids
+            self.endings.append([(ids[match[k:]], len(match) - k) for k in range(len(match)) if match[k:] in ids])
+        found = self.steps[key] = self.number[match]
+        return found
+
+    def walk(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, tuple[int, ...]]]:
+        """The words with their ids, in the trie's order. What a word shares with the one before is on the path yet."""
+        v, width, steps, endings = self.vocabulary, self.width, self.steps.get, self.endings
+        pairs, size, beside, step = v.pairs.get, v.size, v.beside, self._step
+        last, matched, previous = [-1], [0], b""
         for word in sorted(words):
             same = 0
             for x, y in zip(word, previous, strict=False):
                 if x != y:
                     break
                 same += 1
-            del path[same + 1 :]
+            del last[same + 1 :], matched[same + 1 :]
             for n in range(same, len(word)):
-                key = path[n] << 8 | word[n]
-                node = child.get(key)
-                if node is None:
-                    token = None
-                    for k in range(n - longest if n > longest else 0, n + 1):
-                        token = ids(word[k : n + 1])
-                        if token is not None:
-                            if k == 0:
-                                break
-                            left = last[path[k]]
-                            fits = pairs.get(left * size + token)
-                            if fits or fits is None and v.beside(left, token):
-                                break
-                            token = None
-                    if token is None:
-                        raise ValueError("the vocabulary lacks a byte")
-                    node = child[key] = len(last)
-                    last.append(token)
-                    before.append(path[k])
-                path.append(node)
-            previous, out, node = word, [], path[-1]
-            while node:
-                out.append(last[node])
-                node = before[node]
+                key = matched[n] << 8 | word[n]
+                state = steps(key)
+                if state is None:
+                    state = step(key)
+                matched.append(state)
+                for token, length in endings[state]:
+                    if length > n:
+                        break
+                    left = last[n + 1 - length]
+                    fits = pairs(left * size + token)
+                    if fits or fits is None and beside(left, token):
+                        break
+                last.append(token)
+            previous, out, n = word, [], len(word)
+            while n:
+                token = last[n]
+                out.append(token)
+                n -= width[token]
             out.reverse()
             yield word, tuple(out)
 
@@ -158,6 +172,7 @@ class Codec:
     def __init__(self, path: str, max_words: int = MAX_WORDS):
         self.vocabulary = Vocabulary(path)
         self.max_words = max_words
+        self.trie = Trie(self.vocabulary)
         self.pattern = regex.compile(WORDS)
         special = self.vocabulary.special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -166,7 +181,6 @@ class Codec:
 
     def _anew(self) -> None:
         """Start a generation; the words of the one before it move over as they are met again."""
-        self.trie = Trie(self.vocabulary)
         self.older: dict[str, tuple[int, ...]] = self.known
         self.known = {}
 
@@ -185,7 +199,7 @@ class Codec:
                 known[w] = (token,)
             else:
                 rest[b] = w
-        for b, found in self.trie.insert(rest):
+        for b, found in self.trie.walk(rest):
             known[rest[b]] = found
 
     def _slices(self, text: str) -> Iterator[list[str] | int]:
@@ -291,12 +305,17 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         c = codec(path)
         numerals = [str(i) for i in range(c.vocabulary.size)]
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in batches:
-            n, of_ids, of_text = [], [], []
-            for ids in c.encode(b.column(1).to_pylist()):
-                n.append(len(ids))
-                of_ids.append(sha(",".join(map(numerals.__getitem__, ids))))
-                of_text.append(sha(c.decode(ids)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        gc.freeze()  # the vocabulary and the words hold no cycles; passes over them would find nothing
+        gc.disable()
+        try:
+            for b in batches:
+                n, of_ids, of_text = [], [], []
+                for ids in c.encode(b.column(1).to_pylist()):
+                    n.append(len(ids))
+                    of_ids.append(sha(",".join(map(numerals.__getitem__, ids))))
+                    of_text.append(sha(c.decode(ids)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            gc.enable()
 
     return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
