@@ -1,14 +1,188 @@
 """Removal of passages that repeat across documents, by content-defined chunks of lines.
 
-A text's units are its lines, and within a long line its sentences. A rolling hash over the hashes of neighbouring units
-chooses chunk boundaries, so equal passages are cut alike whatever stands before them. A chunk's digest is counted over
-all documents. Of a digest that more than one place has, the first place (smallest ``doc_id``, then position) keeps
-its chunk. Another place loses it if its bytes are equal to the first's. Only chunks of two units or more count.
+Rolling hashes over the hashes of neighbouring lines choose where a chunk ends, so equal passages are cut alike
+whatever stands before them. A chunk has two lines at least. A line with several sentences is cut in the same way within
+itself, with its sentences as lines, since a passage may be one long line; its ends are ends of chunks as well. A
+chunk's digest is counted over all documents. Of the places of a digest the first (by ``doc_id``, then position) keeps
+its chunk. Every other place is compared with the first one's bytes and loses the chunk if they are equal. A line of
+which nothing stays goes with its line break.
 
-A passage also touches chunks that begin or end outside it. So a boundary is set after every unit whose hash window
-says so, with short chunks on average, and in a second pass what is left of a passage at the edges of a removed chunk
-goes as well if the unit beside it, together with that chunk's neighbour, repeats elsewhere (:func:`repeated_units`).
+Results for odd input: a null text stays null and an empty one empty; rows that share a ``doc_id`` count as one
+document, so repeated rows have equal results; rows with a null ``doc_id`` stay as they are; chunks under the least
+length, blank lines and what no chunk holds are never removed; an empty table gives an empty result.
 
-Results for odd input: a null text counts as empty and an empty one stays empty; repeated rows count as places of
-their own, so all but one lose their repeated passages; an empty table gives an empty result.
+A document's chunks are gathered by document only, so no task holds more than a document's share; a digest with many
+places meets its first place in joins that can be split. Texts are read whole.
 """
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sievework.llm.shared import materialize, small_batches
+
+#: A chunk ends after a line with the probability of one over this, if it has two lines.
+DIVISOR = 3
+LEAST_LINES, LEAST_CHARS = 2, 40
+SENTENCE_END = re.compile(r"(?<=[.!?])\x20+")
+MASK64 = 2**64 - 1
+PLACES = "doc_id long, digest binary, start int, end int"
+PIECES = "doc_id long, digest binary, start int, end int, first boolean, piece string"
+
+
+def ends_chunk(before: int, own: int) -> bool:
+    """Whether the rolling hash of a line and the one before it marks the end of a chunk."""
+    x = (before * 0x9E3779B97F4A7C15 + own * 0xBF58476D1CE4E5B9) & MASK64
+    return (x ^ x >> 29) * 0x94D049BB133111EB % 2**64 >> 33 < 2**31 // DIVISOR
+
+
+def cut(text: str, spans: list[tuple[int, int]], whole: bool) -> list[tuple[int, int]]:
+    """Chunks of the ``spans`` (lines or sentences). With ``whole`` the last span ends a chunk, too."""
+    out: list[tuple[int, int]] = []
+    begin = size = before = 0
+    for k, (start, end) in enumerate(spans):
+        own = xxhash.xxh3_64_intdigest(text[start:end])
+        size += 1
+        if size >= LEAST_LINES and ends_chunk(before, own):
+            out.append((spans[begin][0], end))
+            begin, size = k + 1, 0
+        before = own
+    if whole and size:
+        if size >= LEAST_LINES or not out:
+            out.append((spans[begin][0], spans[-1][1]))
+        else:  # a single last sentence belongs to the chunk before it
+            out[-1] = (out[-1][0], spans[-1][1])
+    return out
+
+
+def chunks(text: str) -> list[tuple[int, int]]:
+    """The chunks of a text, of lines and of sentences within lines, as places in it."""
+    lines, found, at = [], [], 0
+    for line in text.split("\n"):
+        end = at + len(line)
+        if line and not line.isspace():
+            lines.append((at, end))
+            marks = [m.span() for m in SENTENCE_END.finditer(line)]
+            if marks:
+                starts = [0, *(e for _, e in marks)]
+                stops = [*(s for s, _ in marks), len(line)]
+                sentences = [(at + s, at + e) for s, e in zip(starts, stops, strict=True) if s < e]
+                if len(sentences) >= LEAST_LINES:
+                    found += cut(text, sentences, True)
+        at = end + 1
+    return [x for x in cut(text, lines, False) + found if x[1] - x[0] >= LEAST_CHARS]
+
+
+def remove(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the ``spans``; lines that they leave blank go."""
+    if not spans:
+        return text
+    spans = sorted(spans)
+    out, at, k = [], 0, 0
+    for line in text.split("\n"):
+        end = at + len(line)
+        while k < len(spans) and spans[k][1] <= at:
+            k += 1
+        kept, here, touched = [], at, False
+        for s, e in spans[k:]:
+            if s >= end:
+                break
+            touched = True
+            if s > here:
+                kept.append(text[here:s])
+            here = max(here, e)
+        if not touched:
+            out.append(line)
+        else:
+            kept.append(text[here:end] if here < end else "")
+            rest = " ".join(x.strip(" ") for x in kept if x.strip(" "))
+            if rest:
+                out.append(rest)
+        at = end + 1
+    return "\n".join(out)
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """Every chunk of ``docs`` (``doc_id``, ``text``) with its digest."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            ids, digests, starts, ends = [], [], [], []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for s, e in chunks(text):
+                    ids.append(doc)
+                    digests.append(hashlib.blake2b(text[s:e].encode(), digest_size=16).digest())
+                    starts.append(s)
+                    ends.append(e)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "digest", "start", "end"])
+
+    return docs.mapInArrow(run, PLACES)
+
+
+def _pieces(marked: DataFrame) -> DataFrame:
+    """The text of every repeated chunk of documents with their ``repeated`` chunks."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = [c.split()[0] for c in PIECES.split(", ")]
+        for b in batches:
+            rows = []
+            for doc, text, found in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                rows += [(doc, x["digest"], x["start"], x["end"], x["first"], text[x["start"] : x["end"]]) for x in found]
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+    return marked.select("doc_id", "text", "repeated").mapInArrow(run, PIECES)
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text``, and ``n_removed``, the characters taken out."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    found = materialize(places(texts), "chunks")
+    distinct = found.distinct()
+    first = distinct.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").select("digest", "first")
+    repeated = distinct.join(first, "digest").withColumn("first", (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))
+    by_document = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "start", "end", "first")).alias("repeated"))
+    key = docs["doc_id"].cast("long")
+    by_document = by_document.withColumnRenamed("doc_id", "_document")
+    marked = materialize(docs.join(by_document, key == F.col("_document"), "left").drop("_document").withColumnRenamed("repeated", "_repeated"), "marked")
+    known = marked.where("_repeated is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_repeated").alias("repeated"))
+    pieces = materialize(_pieces(known).distinct(), "pieces")
+    originals = pieces.where("first").select("digest", F.col("piece").alias("original"))
+    equal = pieces.where("not first").join(originals, "digest").where("piece = original")
+    spans = equal.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans")).withColumnRenamed("doc_id", "_document")
+    some = F.exists("_repeated", lambda x: ~x["first"])
+    some = F.coalesce(some, F.lit(False))
+    touched = marked.where(some).join(spans, F.col("doc_id").cast("long") == F.col("_document"), "left").drop("_document", "_repeated")
+    names, at = docs.columns, docs.columns.index("text")
+    schema = touched.select(*names).schema.add("n_removed", "long")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            columns = list(b.columns[:-1])
+            texts = b.column(at).to_pylist()
+            out = [remove(t, [(x["start"], x["end"]) for x in spans or ()]) if t else t for t, spans in zip(texts, b.column(len(names)).to_pylist(), strict=True)]
+            columns[at] = pa.array(out, pa.string())
+            removed = pa.array([len(t or "") - len(x or "") for t, x in zip(texts, out, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*columns, removed], [*names, "n_removed"])
+
+    rest = marked.where(~some).select(*names, F.lit(0).cast("long").alias("n_removed"))
+    return touched.select(*names, "_spans").mapInArrow(run, schema).unionByName(rest)
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """``doc_id``, the text that stays, its digest and the characters taken out, for every row."""
+    done = dedup(docs.select("doc_id", "text"))
+    return done.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"), "text")
