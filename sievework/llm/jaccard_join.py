@@ -12,10 +12,12 @@ meet as often as the smaller k of the two asks for.
    on, and only a mark goes to the range, after which it counts as frequent everywhere and comes last in the order.
 3. Dealt out by document, the shared shingles show which documents have 75 % of theirs shared at all; only these go on,
    with their prefixes (:func:`_candidates`).
-4. Each is verified against the document that it meets most among the first of each shingle's documents. These links
-   join most copies of a large group at a cost in proportion to its size.
-5. Pairs that meet often enough and are in different components yet are verified; those within a component can change
-   nothing. Components of all links are the result.
+4. Of each shingle's documents the one whose shingles are the most common leads. Each document is verified against the
+   leader that it meets most. These links join most copies of a large group at a cost in proportion to its size.
+5. Shingles whose documents are in different components yet connect regions (:func:`_regions`). A region's documents
+   meet in blocks of bounded size, every two of its blocks in one group (:func:`_meet`). There, documents that meet
+   often enough and aren't joined yet are verified; what comes out is a link for each joining of components, not each
+   pair. Components of all links are the result.
 
 Results for odd input: a null or empty text has no shingles and its own id as component; a null ``doc_id`` is linked
 with nothing and has a null component; repeated rows have equal sets, so they fall into one class. An empty table gives
@@ -36,16 +38,19 @@ from sievework.llm.shingles import mix, shingles
 
 PERCENT = 75
 #: Shingles that a worker holds before it deals them out, and about how many a range of them has.
-BATCH_SHINGLES = 2_000_000
+BATCH_SHINGLES = 1_000_000
 #: Sets of a batch with a shingle from which on the shingle counts as frequent everywhere.
 FREQUENT = 64
 FREQUENT_COUNT = np.uint32(2**31)
+#: Shingles of a block of documents.
+BLOCK_SHINGLES = 1_000_000
 #: The most meetings asked for, and the cost of a verification in shingles met.
 MOST_MEETINGS, VERIFY_COST = 8, 64
 
 DEALT = "bucket int, kind int, docs binary, digests binary, sizes binary, counts binary, low binary, high binary, tokens binary"
 OWNED = "bucket int, docs binary, sizes binary, counts binary, tokens binary, frequencies binary"
-CANDIDATE = "doc_id long, n long, meetings int, tokens binary, prefix array<long>"
+CANDIDATE = "doc_id long, n long, meetings int, common double, tokens binary, prefix array<long>"
+MET = "a long, b long"
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -243,8 +248,8 @@ def _candidates(table):
             continue
         end, meetings = prefix(frequencies[x:y], n)
         if end:
-            rows.append({"doc_id": int(owner[x]), "n": n, "meetings": meetings, "tokens": np.sort(tokens[x:y]).tobytes(), "prefix": tokens[x : x + end].view(np.int64)})
-    return pa.Table.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("meetings", pa.int32()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))]))
+            rows.append({"doc_id": int(owner[x]), "n": n, "meetings": meetings, "common": float(np.log2(frequencies[x:y].astype(np.float64)).sum() / n), "tokens": np.sort(tokens[x:y]).tobytes(), "prefix": tokens[x : x + end].view(np.int64)})
+    return pa.Table.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("meetings", pa.int32()), ("common", pa.float64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))]))
 
 
 def candidates(docs: DataFrame, n_shingles: int) -> DataFrame:
@@ -273,23 +278,100 @@ def verify(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
+def _regions(open_: DataFrame) -> DataFrame:
+    """``doc_id`` and ``region``: documents that shingles of ``open_`` connect."""
+    lead = open_.groupBy("token").agg(F.min("doc_id").alias("b"))
+    edges = open_.join(lead, "token").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    return components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("region"))
+
+
+def _meet(table):
+    """Links that join components among the documents of a block, or of two blocks."""
+    import pyarrow as pa
+
+    ids = table.column("doc_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    ids, n, meetings = ids[order], table.column("n").to_numpy()[order], table.column("meetings").to_numpy()[order]
+    tokens = [np.frombuffer(x, np.uint64) for x in table.column("tokens").take(pa.array(order)).to_pylist()]
+    prefixes = [np.array(x, dtype=np.int64).view(np.uint64) for x in table.column("prefix").take(pa.array(order)).to_pylist()]
+    joined: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while joined.get(x, x) != x:
+            joined[x] = joined.get(joined[x], joined[x])
+            x = joined[x]
+        return x
+
+    component = table.column("component").to_numpy()[order].copy()
+    met, shared = _Postings(prefixes), _Postings(tokens)
+    links = []
+    for q in range(len(ids)):
+        times = met.count(prefixes[q], len(ids))
+        times[: q + 1] = 0
+        near = np.flatnonzero((times > 0) & (times >= np.minimum(meetings, meetings[q])) & (component != component[q]) & (100 * np.minimum(n, n[q]) >= PERCENT * np.maximum(n, n[q])))
+        near = near[[top(component[x]) != top(component[q]) for x in near]] if len(near) else near
+        if not len(near):
+            continue
+        both = shared.count(tokens[q], len(ids))[near]
+        for x in near[100 * both >= PERCENT * (n[near] + n[q] - both)]:
+            a, b = top(component[x]), top(component[q])
+            if a != b:
+                joined[max(a, b)] = min(a, b)
+                links.append((int(ids[q]), int(ids[x])))
+    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+
+class _Postings:
+    """The documents of each shingle that two or more of them have."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        values = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
+        owner = np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
+        order = np.argsort(values, kind="stable")
+        values, self.owner = values[order], owner[order]
+        self.starts = _runs(values)
+        self.values = values[self.starts[:-1]]
+
+    def count(self, wanted: np.ndarray, size: int) -> np.ndarray:
+        """For each document how many of the ``wanted`` it has; these are all within the postings."""
+        at = np.searchsorted(self.values, wanted)
+        hits = [self.owner[x:y] for x, y in zip(self.starts[at], self.starts[at + 1], strict=True) if y - x > 1]
+        return np.bincount(np.concatenate(hits), minlength=size) if hits else np.zeros(size, dtype=np.int64)
+
+
+def _blocks(open_: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents of ``open_`` once for each group that they meet in: ``region``, ``x``, ``y``.
+
+    Small regions share groups. A large region is cut into blocks by a hash, and a document goes to a group for each
+    block, its own included.
+    """
+    regions = _regions(open_.select("token", "doc_id"))
+    placed = open_.select("doc_id", "component").distinct().join(regions, "doc_id").join(found.drop("common"), "doc_id")
+    placed = materialize(placed.withColumn("size", (F.length("tokens") / 8).cast("long")), "placed")
+    sizes = placed.groupBy("region").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).alias("blocks"), F.sum("size").alias("whole"))
+    total = sizes.agg(F.sum("whole").alias("n")).first()["n"] or 0
+    bins = max(1, -(-total // BLOCK_SHINGLES))
+    dealt = placed.join(sizes.drop("whole"), "region")
+    few = dealt.where("blocks <= 1").withColumns({"region": -1 - F.pmod(F.xxhash64("region"), F.lit(bins)), "x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
+    many = dealt.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    many = many.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("own", "other")
+    return few.unionByName(many).drop("size", "blocks")
+
+
 def links(found: DataFrame) -> DataFrame:
     """Links between documents of different sets, enough of them for the components to be those of all links."""
-    met = found.select("doc_id", "n", "meetings", F.explode("prefix").alias("token"))
-    first = met.groupBy("token").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("owners")).where("owners > 1").drop("owners")
-    shared = met.join(first, "token")
-    toward = shared.where("doc_id <> first").groupBy("doc_id", "first").agg(F.count(F.lit(1)).alias("times"))
-    most = toward.groupBy("doc_id").agg(F.max(F.struct("times", (-F.col("first")).alias("order"))).alias("best"))
+    met = found.select("doc_id", "common", F.explode("prefix").alias("token"))
+    lead = met.groupBy("token").agg(F.max(F.struct("common", (-F.col("doc_id")).alias("order"))).alias("lead"), F.count(F.lit(1)).alias("owners")).where("owners > 1").select("token", (-F.col("lead.order")).alias("lead"))
+    shared = met.drop("common").join(lead, "token")
+    toward = shared.where("doc_id <> lead").groupBy("doc_id", "lead").agg(F.count(F.lit(1)).alias("times"))
+    most = toward.groupBy("doc_id").agg(F.max(F.struct("times", (-F.col("lead")).alias("order"))).alias("best"))
     star = materialize(verify(most.select(F.col("doc_id").alias("a"), (-F.col("best.order")).alias("b")), found), "star-links")
-    known = components(star)
-    placed = shared.drop("first").join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    known = components(star).withColumnRenamed("node", "doc_id")
+    placed = shared.drop("lead").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = materialize(placed, "meetings")
     mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    open_ = placed.join(mixed, "token", "left_semi")
-    side = lambda c: open_.select("token", *(F.col(x).alias(f"{x}_{c}") for x in ("doc_id", "n", "meetings", "component")))
-    near = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (F.col("component_a") < F.col("component_b"))
-    pairs = side("a").join(side("b"), "token").where(near).groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.first("meetings_a").alias("x"), F.first("meetings_b").alias("y"))
-    rest = verify(pairs.where(F.col("times") >= F.least("x", "y")).select("a", "b"), found)
+    open_ = materialize(placed.join(mixed, "token", "left_semi"), "open")
+    rest = _blocks(open_, found).groupBy("region", "x", "y").applyInArrow(_meet, MET)
     return star.unionByName(rest)
 
 
