@@ -108,8 +108,9 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     """Each row's counts, ``base_failed``, ``score`` and ``kept``."""
     ratios = log_ratios(docs, labels)
     counts = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rows = base(docs).select(F.monotonically_increasing_id().alias("row"), *counts, F.explode_outer(F.concat("words", "pairs")).alias("gram"))
-    grams = rows.select("row", *counts, F.pmod("gram", F.lit(CELLS)).cast("int").alias("cell"))
+    rows = base(docs).select(F.monotonically_increasing_id().alias("row"), *counts, F.concat("words", "pairs").alias("grams"))
+    exploded = rows.select("row", *counts, F.explode_outer("grams").alias("gram"))  # after the numbering of rows
+    grams = exploded.select("row", *counts, F.pmod("gram", F.lit(CELLS)).cast("int").alias("cell"))
     summed = grams.join(F.broadcast(ratios), "cell", "left").groupBy("row").agg(*(F.first(c).alias(c) for c in counts), F.sum("ratio").alias("total"), F.count("cell").alias("n_grams"))
     score = F.when(F.col("n_grams") > 0, F.col("total") / F.col("n_grams") / MILLION)
     kept = ~F.col("base_failed") & (F.coalesce(score, F.lit(0.0)) >= threshold)
