@@ -20,8 +20,8 @@ meet as often as the smaller k of the two asks for.
    pair. Components of all links are the result.
 
 Results for odd input: a null or empty text has no shingles and its own id as component; a null ``doc_id`` is linked
-with nothing and has a null component; repeated rows have equal sets, so they fall into one class. An empty table gives
-an empty result. Sets are compared by 64-bit hashes; texts are read whole.
+with nothing and has a null component; repeated rows have equal sets, so they fall into one class; rows that share a
+``doc_id`` count as one document in links. An empty table gives an empty result. Sets are compared by 64-bit hashes; texts are read whole.
 """
 
 from __future__ import annotations
@@ -41,14 +41,15 @@ PERCENT = 75
 BATCH_SHINGLES = 1_000_000
 #: Sets of a batch with a shingle from which on the shingle counts as frequent everywhere.
 FREQUENT = 64
-FREQUENT_COUNT = np.uint32(2**31)
+#: The number of a shingle's sets goes on as a byte, this many steps to each doubling; the last one is for frequent ones.
+STEPS, FREQUENT_STEP = 8, 255
 #: Shingles of a block of documents.
 BLOCK_SHINGLES = 1_000_000
 #: The most meetings asked for, and the cost of a verification in shingles met.
 MOST_MEETINGS, VERIFY_COST = 8, 64
 
-DEALT = "bucket int, kind int, docs binary, digests binary, sizes binary, counts binary, low binary, high binary, tokens binary"
-OWNED = "bucket int, docs binary, sizes binary, counts binary, tokens binary, frequencies binary"
+DEALT = "bucket int, kind int, base long, steps binary, wide binary, low binary, high binary, tokens binary, docs binary, sizes binary"
+OWNED = "bucket int, refs binary, tokens binary, frequencies binary, docs binary, sizes binary"
 CANDIDATE = "doc_id long, n long, meetings int, common double, tokens binary, prefix array<long>"
 MET = "a long, b long"
 
@@ -90,54 +91,67 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64), len(x))
 
 
+def _narrow(owner: np.ndarray) -> dict[str, bytes]:
+    """Rising numbers as bytes of their differences; those of 255 and more are apart, in order."""
+    steps = np.diff(owner, prepend=0)
+    return {"steps": np.minimum(steps, 255).astype(np.uint8).tobytes(), "wide": steps[steps >= 255].astype(np.uint32).tobytes()}
+
+
+def _widen(steps: bytes, wide: bytes) -> np.ndarray:
+    out = np.frombuffer(steps, np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(wide, np.uint32)
+    return np.cumsum(out)
+
+
+def _schema(ddl: str):
+    import pyarrow as pa
+
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
+
+
 def _deal(docs: DataFrame, n_ranges: int) -> DataFrame:
-    def flush(held: dict[bytes, tuple[int, np.ndarray]], turn: int):
-        """Rows of kind 0: a range's shingles by set; 1: a range's frequent shingles; 2: frequent shingles by set."""
-        digests = list(held)
-        ids = np.array([held[d][0] for d in digests], dtype=np.int64)
-        arrays = [held[d][1] for d in digests]
-        sizes = np.array([len(a) for a in arrays], dtype=np.uint32)
-        tokens, owner = np.concatenate(arrays), np.repeat(np.arange(len(ids)), sizes)
+    def flush(held: list[tuple[int, np.ndarray]], base: int, turn: int):
+        """Rows of kind 0: shingles of a range with their sets; 1: frequent shingles of a range; 2: frequent shingles
+        with their sets; 3: the documents of the batch's sets. Sets are numbered from ``base``."""
+        arrays = [s for _, s in held]
+        sizes = np.array([len(s) for s in arrays], dtype=np.uint32)
+        tokens, owner = np.concatenate(arrays), np.repeat(np.arange(len(held)), sizes)
         order = np.argsort(tokens, kind="stable")
         starts = _runs(tokens[order])
+        times = np.diff(starts)
         often = np.zeros(len(tokens), dtype=bool)
-        often[order] = np.repeat(np.diff(starts) >= FREQUENT, np.diff(starts))
+        often[order] = np.repeat(times >= FREQUENT, times)
         bucket = _ranges(tokens, n_ranges)
         low = tokens & np.uint64(2**48 - 1)
-
-        def row(b: int, kind: int, at: np.ndarray, full: np.ndarray | None):
-            begins = _runs(owner[at])
-            who = owner[at][begins[:-1]]
-            same = {"bucket": b, "kind": kind, "docs": ids[who].tobytes(), "digests": b"".join(digests[i] for i in who), "sizes": sizes[who].tobytes(), "counts": np.diff(begins).astype(np.uint32).tobytes()}
-            if full is not None:
-                return same | {"low": b"", "high": b"", "tokens": full.tobytes()}
-            return same | {"low": low[at].astype(np.uint32).tobytes(), "high": (low[at] >> np.uint64(32)).astype(np.uint16).tobytes(), "tokens": b""}
-
+        yield {"bucket": turn % n_ranges, "kind": 3, "base": base, "docs": np.array([d for d, _ in held], dtype=np.int64).tobytes(), "sizes": sizes.tobytes()}
         plain = np.flatnonzero(~often)
         plain = plain[np.argsort(bucket[plain], kind="stable")]  # by range, and within it by set
         edges = _runs(bucket[plain])
         for x, y in zip(edges[:-1], edges[1:], strict=True):
-            yield row(int(bucket[plain[x]]), 0, plain[x:y], None)
+            at = plain[x:y]
+            yield {"bucket": int(bucket[at[0]]), "kind": 0, "base": base, "low": low[at].astype(np.uint32).tobytes(), "high": (low[at] >> np.uint64(32)).astype(np.uint16).tobytes()} | _narrow(owner[at])
         frequent = np.flatnonzero(often)
         if len(frequent):
-            first = order[starts[:-1][np.diff(starts) >= FREQUENT]]
+            first = order[starts[:-1][times >= FREQUENT]]
             names = _identity(bucket[first], low[first])
             for b in np.unique(bucket[first]):
-                yield {"bucket": int(b), "kind": 1, "docs": b"", "digests": b"", "sizes": b"", "counts": b"", "low": b"", "high": b"", "tokens": names[bucket[first] == b].tobytes()}
+                yield {"bucket": int(b), "kind": 1, "base": base, "tokens": names[bucket[first] == b].tobytes()}
             for k, at in enumerate(np.array_split(frequent, 1 + len(frequent) // 100_000)):
-                yield row((turn + k) % n_ranges, 2, at, _identity(bucket[at], low[at]))
+                yield {"bucket": (turn + k) % n_ranges, "kind": 2, "base": base, "tokens": _identity(bucket[at], low[at]).tobytes()} | _narrow(owner[at])
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        schema = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") else pa.binary()) for c in DEALT.split(", ")])
-        held: dict[bytes, tuple[int, np.ndarray]] = {}
-        size, turn = 0, TaskContext.get().partitionId() * 7919
+        schema, part = _schema(DEALT), TaskContext.get().partitionId()
+        held: list[tuple[int, np.ndarray]] = []
+        at: dict[bytes, int] = {}
+        size = turn = 0
 
         def send():
             rows = []
-            for r in flush(held, turn):
+            for r in flush(held, (part << 40) + (turn << 20), part * 7919 + turn):
                 rows.append(r)
                 if len(rows) == 16:
                     yield pa.RecordBatch.from_pylist(rows, schema)
@@ -151,72 +165,79 @@ def _deal(docs: DataFrame, n_ranges: int) -> DataFrame:
                 if not len(s):
                     continue
                 d = _digest(s)
-                if d in held:
-                    held[d] = (min(doc, held[d][0]), s)
+                if d in at:  # of equal sets in a batch the first document's goes on
+                    held[at[d]] = (min(doc, held[at[d]][0]), s)
                     continue
-                held[d] = (doc, s)
+                at[d] = len(held)
+                held.append((doc, s))
                 size += len(s)
                 if size >= BATCH_SHINGLES:
                     yield from send()
-                    held, size, turn = {}, 0, turn + 1
+                    held, at, size, turn = [], {}, 0, turn + 1
         if held:
             yield from send()
 
     return documents(docs).where("doc_id is not null").mapInArrow(run, DEALT)
 
 
-def _read(table, kind: str, column: str, dtype) -> np.ndarray:
-    parts = [np.frombuffer(x, dtype=dtype) for x in table.column(column).to_pylist()]
+def _read(table, column: str, dtype) -> np.ndarray:
+    parts = [np.frombuffer(x, dtype=dtype) for x in table.column(column).to_pylist() if x]
     return np.concatenate(parts) if parts else np.empty(0, dtype=dtype)
 
 
+def _refs(table) -> np.ndarray:
+    parts = [base + _widen(s, w) for base, s, w in zip(*(table.column(c).to_pylist() for c in ("base", "steps", "wide")), strict=True)]
+    return np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+
+
 def _owners(n_parts: int):
-    """For a range of shingles: the shared ones with the number of their sets, dealt out by document."""
+    """For a range of shingles: the shared ones with the number of their sets, dealt out by set; batches' documents are
+    dealt out likewise."""
 
     def run(table):
         import pyarrow as pa
         import pyarrow.compute as pc
 
         kinds = table.column("kind")
-        plain, marks, passed = (table.filter(pc.equal(kinds, k)) for k in (0, 1, 2))
-        docs, sizes, counts = (_read(plain, "", c, t) for c, t in (("docs", np.int64), ("sizes", np.uint32), ("counts", np.uint32)))
-        digests = _read(plain, "", "digests", np.dtype("S16")) if plain.num_rows else np.empty(0, "S16")
-        low = _read(plain, "", "low", np.uint32).astype(np.uint64) | _read(plain, "", "high", np.uint16).astype(np.uint64) << np.uint64(32)
-        bucket = table.column("bucket")[0].as_py()
-        tokens, owner = _identity(bucket, low), np.repeat(np.arange(len(docs)), counts)
-        order = np.lexsort((docs, digests))  # of documents with equal sets, the first one speaks for all
-        lead = np.zeros(len(docs), dtype=bool)
-        lead[order[_runs(digests[order])[:-1]]] = True
-        stays = lead[owner]
-        tokens, owner = tokens[stays], owner[stays]
+        plain, marks, passed, listed = (table.filter(pc.equal(kinds, k)) for k in range(4))
+        low = _read(plain, "low", np.uint32).astype(np.uint64) | _read(plain, "high", np.uint16).astype(np.uint64) << np.uint64(32)
+        tokens, refs = _identity(table.column("bucket")[0].as_py(), low), _refs(plain)
         order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
-        starts = _runs(tokens)
-        frequency = np.repeat(np.diff(starts), np.diff(starts)).astype(np.uint32)
-        frequency[np.isin(tokens, _read(marks, "", "tokens", np.uint64))] = FREQUENT_COUNT
-        shared = frequency > 1
-        tokens, owner, frequency = tokens[shared], owner[shared], frequency[shared]
-        docs_of, sizes_of = docs[owner], sizes[owner]
-        if passed.num_rows:
-            again = _read(passed, "", "counts", np.uint32)
-            more = _read(passed, "", "tokens", np.uint64)
-            tokens, frequency = np.append(tokens, more), np.append(frequency, np.full(len(more), FREQUENT_COUNT))
-            docs_of = np.append(docs_of, np.repeat(_read(passed, "", "docs", np.int64), again))
-            sizes_of = np.append(sizes_of, np.repeat(_read(passed, "", "sizes", np.uint32), again))
-        part = _ranges(mix(docs_of.astype(np.uint64)), n_parts)
-        order = np.lexsort((docs_of, part))
-        edges = _runs(part[order])
+        tokens, refs = tokens[order], refs[order]
+        times = np.diff(_runs(tokens))
+        steps = np.minimum(np.round(np.log2(times) * STEPS), FREQUENT_STEP - 1) if len(times) else times
+        often = np.isin(tokens, _read(marks, "tokens", np.uint64))
+        frequency = np.where(often, FREQUENT_STEP, np.repeat(steps, times)).astype(np.uint8)
+        shared = frequency > 0
+        tokens, refs, frequency = tokens[shared], refs[shared], frequency[shared]
+        more = _read(passed, "tokens", np.uint64)
+        tokens, refs = np.append(tokens, more), np.append(refs, _refs(passed))
+        frequency = np.append(frequency, np.full(len(more), FREQUENT_STEP, dtype=np.uint8))
         rows = []
-        for x, y in zip(edges[:-1], edges[1:], strict=True):
-            at = order[x:y]
-            begins = _runs(docs_of[at])
-            rows.append({"bucket": int(part[at[0]]), "docs": docs_of[at][begins[:-1]].tobytes(), "sizes": sizes_of[at][begins[:-1]].tobytes(), "counts": np.diff(begins).astype(np.uint32).tobytes(), "tokens": tokens[at].tobytes(), "frequencies": frequency[at].tobytes()})
-        schema = pa.schema([(c.split()[0], pa.int32() if c.endswith("int") else pa.binary()) for c in OWNED.split(", ")])
-        return pa.Table.from_pylist(rows, schema)
+        for at in _by_part(refs, n_parts):
+            rows.append({"bucket": _part(refs[at[0]], n_parts), "refs": refs[at].tobytes(), "tokens": tokens[at].tobytes(), "frequencies": frequency[at].tobytes()})
+        for base, docs, sizes in zip(*(listed.column(c).to_pylist() for c in ("base", "docs", "sizes")), strict=True):
+            docs, sizes = np.frombuffer(docs, np.int64), np.frombuffer(sizes, np.uint32)
+            numbers = base + np.arange(len(docs))
+            for at in _by_part(numbers, n_parts):
+                rows.append({"bucket": _part(numbers[at[0]], n_parts), "refs": numbers[at].tobytes(), "docs": docs[at].tobytes(), "sizes": sizes[at].tobytes()})
+        return pa.Table.from_pylist(rows, _schema(OWNED))
 
     return run
 
 
+def _part(ref, n_parts: int) -> int:
+    return int(_ranges(mix(np.array([ref]).astype(np.uint64)), n_parts)[0])
+
+
+def _by_part(refs: np.ndarray, n_parts: int) -> list[np.ndarray]:
+    """The places of ``refs`` by part, each in the order of the numbers."""
+    part = _ranges(mix(refs.astype(np.uint64)), n_parts)
+    order = np.lexsort((refs, part))
+    edges = _runs(part[order])
+    return [order[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def prefix(frequencies: np.ndarray, n: int) -> tuple[int, int]:
     """Of a set's shared shingles in order: how many its prefix takes, and how many meetings it asks for.
 
@@ -224,7 +245,7 @@ def prefix(frequencies: np.ndarray, n: int) -> tuple[int, int]:
     """
     least = -(-PERCENT * n // 100)
     alone = n - len(frequencies)
-    met = np.append(0.0, np.cumsum(frequencies, dtype=np.float64))
+    met = np.append(0.0, np.cumsum(2.0 ** (frequencies / STEPS)))
     k = np.arange(1, min(MOST_MEETINGS, least) + 1)
     ends = np.clip(n - least + k - alone, 0, len(frequencies))
     best = int(np.argmin(met[ends] * (1 + VERIFY_COST / k)))
@@ -232,28 +253,33 @@ def prefix(frequencies: np.ndarray, n: int) -> tuple[int, int]:
 
 
 def _candidates(table):
-    """For a part of the documents: those with enough shared shingles, their shingles and their prefixes."""
+    """For a part of the sets: those with enough shared shingles, their shingles and their prefixes."""
     import pyarrow as pa
-
-    docs, sizes, counts = (_read(table, "", c, t) for c, t in (("docs", np.int64), ("sizes", np.uint32), ("counts", np.uint32)))
-    tokens, frequencies = _read(table, "", "tokens", np.uint64), _read(table, "", "frequencies", np.uint32)
-    owner, n_of = np.repeat(docs, counts), np.repeat(sizes, counts)
-    order = np.lexsort((tokens, frequencies, owner))
-    tokens, frequencies, owner, n_of = tokens[order], frequencies[order], owner[order], n_of[order]
-    begins = _runs(owner)
+    import pyarrow.compute as pc
+
+    listed = pc.is_valid(table.column("docs"))
+    own, found = table.filter(listed), table.filter(pc.invert(listed))
+    numbers, docs, sizes = _read(own, "refs", np.int64), _read(own, "docs", np.int64), _read(own, "sizes", np.uint32)
+    order = np.argsort(numbers)
+    numbers, docs, sizes = numbers[order], docs[order], sizes[order]
+    refs, tokens, frequencies = _read(found, "refs", np.int64), _read(found, "tokens", np.uint64), _read(found, "frequencies", np.uint8)
+    order = np.lexsort((tokens, frequencies, refs))
+    refs, tokens, frequencies = refs[order], tokens[order], frequencies[order]
+    begins = _runs(refs)
     rows = []
     for x, y in zip(begins[:-1], begins[1:], strict=True):
-        n = int(n_of[x])
+        at = np.searchsorted(numbers, refs[x])
+        n = int(sizes[at])
         if 100 * (y - x) < PERCENT * n:
             continue
         end, meetings = prefix(frequencies[x:y], n)
         if end:
-            rows.append({"doc_id": int(owner[x]), "n": n, "meetings": meetings, "common": float(np.log2(frequencies[x:y].astype(np.float64)).sum() / n), "tokens": np.sort(tokens[x:y]).tobytes(), "prefix": tokens[x : x + end].view(np.int64)})
+            rows.append({"doc_id": int(docs[at]), "n": n, "meetings": meetings, "common": float(frequencies[x:y].sum(dtype=np.int64) / STEPS / n), "tokens": np.sort(tokens[x:y]).tobytes(), "prefix": tokens[x : x + end].view(np.int64)})
     return pa.Table.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("meetings", pa.int32()), ("common", pa.float64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))]))
 
 
 def candidates(docs: DataFrame, n_shingles: int) -> DataFrame:
-    """Documents that may link, one for each set, with the shared shingles and the prefix of each."""
+    """Documents that may link, one for each set of a batch, with the shared shingles and the prefix of each."""
     n = max(1, -(-n_shingles // BATCH_SHINGLES))
     small_batches(docs.sparkSession)
     owned = _deal(docs, n).groupBy("bucket").applyInArrow(_owners(n), OWNED)
