@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Features are words and character n-grams within words. The ones that a bounded sample of labelled documents ties to a
-label (chi-square) make up the vocabulary; document frequencies are counted over all documents. The labelled examples
+Features are words and character n-grams within words. The ones that a bounded sample of labelled documents ties to
+label 1 (chi-square, and several times the rate of label 0) make up the vocabulary; document frequencies are counted
+over all documents. One pass of an Aho-Corasick automaton finds a text's features. The labelled examples
 are an inverted index: for each feature the examples that have it, in blocks, with the greatest weight of each block. A
 query takes blocks by their upper bounds and stops when no block left can reach its k-th best cosine, so the k nearest
 are exact. Neighbours vote by their cosine, and a logistic curve fitted on the examples' own leave-one-out votes turns
@@ -30,28 +31,30 @@ from sievework.llm.shared import documents, materialize, small_batches
 EXAMPLES = 2048
 #: Features at most, the documents that a feature must be in, and the least chi-square.
 FEATURES, LEAST_DOCUMENTS, LEAST_CHI2 = 2048, 6, 15.0
+#: How many times as often a feature must be in documents of label 1 as in those of label 0.
+LEAST_LIFT = 4.0
 GRAMS = (4, 5)
 FOLDS = 5
 NEIGHBOURS, BLOCK = 15, 64
 #: Added to the sum of cosines, as a vote for label 0.
 DOUBT = 0.2
-#: Distinct words whose features a worker keeps.
-MAX_WORDS = 200_000
 
-EDGES = re.compile(r"^\W+|\W+$")
+BETWEEN = re.compile(r"\W+")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == 0
 
 
-def word_features(word: str) -> list[str]:
-    """The word without signs around it, and its n-grams with its ends marked."""
-    word = EDGES.sub("", word)
-    if not word:
-        return []
-    marked = f"^{word}$"
-    return list({"=" + word} | {marked[k : k + n] for n in GRAMS for k in range(len(marked) - n + 1)})
+def plain(text: str) -> str:
+    """The words of a text in lower case, with a space on either side of each."""
+    return f" {BETWEEN.sub(' ', text.lower()).strip()} "
+
+
+def word_features(word: str) -> set[str]:
+    """The word and its n-grams, with spaces for its ends."""
+    marked = f" {word} "
+    return {marked} | {marked[k : k + n] for n in GRAMS for k in range(len(marked) - n + 1)}
 
 
 def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -71,7 +74,7 @@ def choose(sample: DataFrame) -> list[str]:
         for b in batches:
             found: dict[str, list[int]] = {}
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for f in {f for w in set(text.lower().split()) for f in word_features(w)}:
+                for f in {f for w in set(plain(text).split()) for f in word_features(w)}:
                     found.setdefault(f, [0, 0])[toxic] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())], ["feature", "clean", "toxic"])
 
@@ -83,32 +86,27 @@ def choose(sample: DataFrame) -> list[str]:
     counts = counts.groupBy("feature").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")).where(F.col("a") + F.col("b") >= LEAST_DOCUMENTS)
     a, b, n = F.col("a"), F.col("b"), n0 + n1
     chi2 = n * F.pow(a * n1 - b * n0, F.lit(2)) / (n0 * n1 * (a + b) * (n - a - b + 0.5))
-    rows = counts.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "feature").limit(FEATURES).collect()
+    lift = (b + 0.5) / n1 / ((a + 0.5) / n0)
+    rows = counts.withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (lift >= LEAST_LIFT)).orderBy(F.desc("chi2"), "feature").limit(FEATURES).collect()
     return [r["feature"] for r in rows]
 
 
 class Features:
-    """The numbers of a text's features, with counts; remembers those of words."""
+    """Finds the features of a text, by number, with counts."""
 
     def __init__(self, vocabulary: list[str]):
-        self.number = {f: k for k, f in enumerate(vocabulary)}
-        self.words: dict[str, tuple[int, ...]] = {}
+        import ahocorasick
 
-    def of_word(self, word: str) -> tuple[int, ...]:
-        if len(self.words) >= MAX_WORDS:
-            self.words.clear()
-        number = self.number
-        found = self.words[word] = tuple(number[f] for f in word_features(word) if f in number)
-        return found
+        self.automaton = ahocorasick.Automaton()
+        for k, f in enumerate(vocabulary):
+            self.automaton.add_word(f, k)
+        if vocabulary:
+            self.automaton.make_automaton()
 
     def count(self, text: str) -> dict[int, int]:
-        known, out = self.words, {}
-        for word in text.lower().split():
-            found = known.get(word)
-            if found is None:
-                found = self.of_word(word)
-            for f in found:
-                out[f] = out.get(f, 0) + 1
+        out: dict[int, int] = {}
+        for _, f in self.automaton.iter(plain(text)) if len(self.automaton) else ():
+            out[f] = out.get(f, 0) + 1
         return out
 
 
