@@ -12,7 +12,9 @@ document, so repeated rows have equal results; rows with a null ``doc_id`` stay
 length, blank lines and what no chunk holds are never removed; an empty table gives an empty result.
 
 A document's chunks are gathered by document only, so no task holds more than a document's share; a digest with many
-places meets its first place in joins that can be split. Texts are read whole.
+places meets its first place in joins that can be split. Before rows go to a join, those whose key can't be on its other
+side are told by a broadcast set of hashed keys. The set has a fixed number of cells, so it stays small whatever the
+input; if it fills up, more rows go to the join and the result is the same. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import hashlib
 import re
 
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.shared import materialize, small_batches
@@ -31,8 +33,9 @@ DIVISOR = 3
 LEAST_LINES, LEAST_CHARS = 2, 40
 SENTENCE_END = re.compile(r"(?<=[.!?])\x20+")
 MASK64 = 2**64 - 1
+#: Cells of a set of hashed keys.
+CELLS = 1 << 20
 PLACES = "doc_id long, digest binary, start int, end int"
-PIECES = "doc_id long, digest binary, start int, end int, first boolean, piece string"
 
 
 def ends_chunk(before: int, own: int) -> bool:
@@ -127,21 +130,28 @@ def places(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, PLACES)
 
 
-def _pieces(marked: DataFrame) -> DataFrame:
-    """The text of every repeated chunk of documents with their ``repeated`` chunks."""
+def _split(rows: DataFrame, key: Column, others: DataFrame, other: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``key`` may be among the ``others``, and rows whose key is not."""
+    cell = lambda c: F.coalesce(F.pmod(F.xxhash64(c), F.lit(CELLS)), F.lit(-1))
+    cells = F.broadcast(materialize(others.select(cell(other).alias("_cell")).distinct(), "cells"))  # CELLS rows at most
+    return tuple(rows.withColumn("_cell", cell(key)).join(cells, "_cell", how).drop("_cell") for how in ("left_semi", "left_anti"))
+
+
+def _originals(listed: DataFrame) -> DataFrame:
+    """The text of each digest in its first document (``doc_id``, ``text``, ``own``: digests with their places)."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = [c.split()[0] for c in PIECES.split(", ")]
         for b in batches:
-            rows = []
-            for doc, text, found in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                rows += [(doc, x["digest"], x["start"], x["end"], x["first"], text[x["start"] : x["end"]]) for x in found]
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+            digests, texts = [], []
+            for text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for digest, (start, end) in {x["digest"]: (x["start"], x["end"]) for x in sorted(own, key=lambda x: -x["start"])}.items():
+                    digests.append(digest)
+                    texts.append(text[start:end])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(texts, pa.string())], ["digest", "original"])
 
-    return marked.select("doc_id", "text", "repeated").mapInArrow(run, PIECES)
+    return listed.select("text", "own").mapInArrow(run, "digest binary, original string")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -149,37 +159,40 @@ def dedup(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     found = materialize(places(texts), "chunks")
-    distinct = found.distinct()
-    first = distinct.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").select("digest", "first")
-    repeated = distinct.join(first, "digest").withColumn("first", (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))
-    by_document = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "start", "end", "first")).alias("repeated"))
-    key = docs["doc_id"].cast("long")
-    by_document = by_document.withColumnRenamed("doc_id", "_document")
-    marked = materialize(docs.join(by_document, key == F.col("_document"), "left").drop("_document").withColumnRenamed("repeated", "_repeated"), "marked")
-    known = marked.where("_repeated is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_repeated").alias("repeated"))
-    pieces = materialize(_pieces(known).distinct(), "pieces")
-    originals = pieces.where("first").select("digest", F.col("piece").alias("original"))
-    equal = pieces.where("not first").join(originals, "digest").where("piece = original")
-    spans = equal.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans")).withColumnRenamed("doc_id", "_document")
-    some = F.exists("_repeated", lambda x: ~x["first"])
-    some = F.coalesce(some, F.lit(False))
-    touched = marked.where(some).join(spans, F.col("doc_id").cast("long") == F.col("_document"), "left").drop("_document", "_repeated")
+    repeated = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
+    placed = materialize(_split(found, F.col("digest"), repeated, F.col("digest"))[0].join(repeated, "digest"), "placed")
+    own, others = placed.where("doc_id = first").drop("first"), placed.where("doc_id <> first").drop("first")
+    by_first = own.groupBy("doc_id").agg(F.collect_list(F.struct("digest", "start", "end")).alias("own"))
+    originals = _originals(_split(texts, F.col("doc_id"), own, F.col("doc_id"))[0].join(by_first, "doc_id"))
+    copies = others.join(originals, "digest").select("doc_id", "start", "end", "original", F.lit(None).cast("int").alias("at"))
+    again = own.groupBy("doc_id", "digest").agg(F.min("start").alias("at"), F.max("start").alias("last")).where("at < last").drop("last")
+    within = own.join(again, ["doc_id", "digest"]).where("start > at").select("doc_id", "start", "end", F.lit(None).cast("string").alias("original"), "at")
+    spans = copies.unionByName(within).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "original", "at")).alias("_spans"))
+    spans = materialize(spans.withColumnRenamed("doc_id", "_document"), "spans")
+    key = F.col("doc_id").cast("long")
+    some, rest = _split(docs, key, spans, F.col("_document"))
+    touched = some.join(spans, key == F.col("_document"), "left").drop("_document")
     names, at = docs.columns, docs.columns.index("text")
     schema = touched.select(*names).schema.add("n_removed", "long")
 
+    def equal(text: str, x: dict) -> bool:
+        own = text[x["start"] : x["end"]]
+        return own == (x["original"] if x["original"] is not None else text[x["at"] : x["at"] + len(own)])
+
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             columns = list(b.columns[:-1])
             texts = b.column(at).to_pylist()
-            out = [remove(t, [(x["start"], x["end"]) for x in spans or ()]) if t else t for t, spans in zip(texts, b.column(len(names)).to_pylist(), strict=True)]
+            listed = b.column(len(names)).to_pylist()
+            out = [remove(t, [(x["start"], x["end"]) for x in spans or () if equal(t, x)]) if t else t for t, spans in zip(texts, listed, strict=True)]
             columns[at] = pa.array(out, pa.string())
             removed = pa.array([len(t or "") - len(x or "") for t, x in zip(texts, out, strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays([*columns, removed], [*names, "n_removed"])
 
-    rest = marked.where(~some).select(*names, F.lit(0).cast("long").alias("n_removed"))
-    return touched.select(*names, "_spans").mapInArrow(run, schema).unionByName(rest)
+    done = touched.select(*names, "_spans").mapInArrow(run, schema)
+    return done.unionByName(rest.select(*names, F.lit(0).cast("long").alias("n_removed")))
 
 
 def report(docs: DataFrame) -> DataFrame:
