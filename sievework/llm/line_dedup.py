@@ -25,6 +25,7 @@ import re
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sievework.llm.shared import materialize, small_batches
 
@@ -169,11 +170,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     within = own.join(again, ["doc_id", "digest"]).where("start > at").select("doc_id", "start", "end", F.lit(None).cast("string").alias("original"), "at")
     spans = copies.unionByName(within).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "original", "at")).alias("_spans"))
     spans = materialize(spans.withColumnRenamed("doc_id", "_document"), "spans")
-    key = F.col("doc_id").cast("long")
-    some, rest = _split(docs, key, spans, F.col("_document"))
-    touched = some.join(spans, key == F.col("_document"), "left").drop("_document")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # so that names can't clash
+    key = F.col("row.doc_id").cast("long")
+    some, rest = _split(whole, key, spans, F.col("_document"))
+    touched = some.join(spans, key == F.col("_document"), "left").select("row", "_spans")
     names, at = docs.columns, docs.columns.index("text")
-    schema = touched.select(*names).schema.add("n_removed", "long")
+    schema = StructType([*touched.schema["row"].dataType.fields, StructField("n_removed", LongType())])
 
     def equal(text: str, x: dict) -> bool:
         own = text[x["start"] : x["end"]]
@@ -183,16 +185,15 @@ def dedup(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            columns = list(b.columns[:-1])
-            texts = b.column(at).to_pylist()
-            listed = b.column(len(names)).to_pylist()
+            columns = b.column(0).flatten()
+            texts, listed = columns[at].to_pylist(), b.column(1).to_pylist()
             out = [remove(t, [(x["start"], x["end"]) for x in spans or () if equal(t, x)]) if t else t for t, spans in zip(texts, listed, strict=True)]
             columns[at] = pa.array(out, pa.string())
             removed = pa.array([len(t or "") - len(x or "") for t, x in zip(texts, out, strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays([*columns, removed], [*names, "n_removed"])
 
-    done = touched.select(*names, "_spans").mapInArrow(run, schema)
-    return done.unionByName(rest.select(*names, F.lit(0).cast("long").alias("n_removed")))
+    left = rest.select("row.*", F.lit(0).cast("long").alias("n_removed"))
+    return touched.mapInArrow(run, schema).union(left)
 
 
 def report(docs: DataFrame) -> DataFrame:
