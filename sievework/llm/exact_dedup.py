@@ -38,7 +38,8 @@ def winners(rows: DataFrame) -> DataFrame:
 class DigestIndex:
     """The bucketed table at ``location``; made if absent, opened with what it has otherwise.
 
-    With fewer buckets than shuffle partitions, Spark rather exchanges the index's side too."""
+    With fewer buckets than shuffle partitions, Spark rather exchanges the index's side too.
+    """
 
     def __init__(self, spark: SparkSession, location: str, buckets: int | None = None, name: str | None = None):
         self.spark, self.buckets = spark, buckets or partitions(spark)
