@@ -417,3 +417,14 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is the first of its component."""
     kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+k AS (SELECT doc_id, a, unnest(range(1, greatest(len(a) - 4, 1) + 1)) AS k FROM w WHERE len(a) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(a, k, k + 4), ' ') AS sh FROM k), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT i, j FROM p JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j WHERE 100 * c >= 75 * (x.n + y.n - c)), b AS (SELECT i, j FROM e UNION ALL SELECT j, i FROM e),
+t(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT t.doc_id, b.j FROM t JOIN b ON b.i = t.seen)
+SELECT t.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id FROM t LEFT JOIN n ON n.doc_id = t.doc_id GROUP BY t.doc_id
+"""

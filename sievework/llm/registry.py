@@ -67,5 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op5_url_filter": urls.ORACLE,
+    "op6_jaccard_join": jaccard_join.ORACLE,
     "op7_chat": chat.ORACLE,
 }

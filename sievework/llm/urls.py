@@ -88,3 +88,21 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     bounds = materialize(reputations(known), "reputations")
     verdict = F.coalesce("ruling", F.when(F.col("bound") < threshold, "block").otherwise("allow"))
     return known.join(bounds, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+
+
+ORACLE = r"""
+WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+k(ruling, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+f AS (SELECT u.*, (SELECT max_by({'rule': h || p, 'ruling': ruling}, length(h || p)) FROM k WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS m FROM u),
+r AS (SELECT page_id, host, path, m.rule AS rule, m.ruling AS ruling FROM f),
+h AS (SELECT host, count(ruling)::DOUBLE AS n, count(*) FILTER (ruling = 'allow')::DOUBLE AS g, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM r GROUP BY host),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(g) AS g FROM h GROUP BY ALL), s AS (SELECT suffix, sum(n) AS n, sum(g) AS g FROM d GROUP BY ALL), w AS (SELECT (sum(g) + 0.5) / (sum(n) + 1) AS mean, sum(n) AS whole FROM s),
+lv AS (SELECT 'h' AS l, n, g FROM h UNION ALL SELECT 'd', n, g FROM d UNION ALL SELECT 's', n, g FROM s),
+q AS (SELECT l, count(*) AS k, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS room, (sum(n * pow(g / n - mean, 2)) / (mean * (1 - mean)) - (count(*) - 1)) AS extra FROM lv, w WHERE n > 0 GROUP BY l, mean),
+z AS (SELECT l, CASE WHEN k < 2 THEN 10000.0 WHEN room <= 0 THEN 1.0 WHEN extra / room > 0 THEN least(10000.0, greatest(1.0, (1 - extra / room) / (extra / room))) ELSE 10000.0 END AS strength FROM q),
+st AS (SELECT coalesce((SELECT strength FROM z WHERE l = 'h'), 1.0)::DOUBLE AS zh, coalesce((SELECT strength FROM z WHERE l = 'd'), 10000.0)::DOUBLE AS zd, coalesce((SELECT strength FROM z WHERE l = 's'), 10000.0)::DOUBLE AS zs),
+ps AS (SELECT suffix, (g + zs * mean) / (n + zs) AS above FROM s, w, st), pd AS (SELECT domain, (g + zd * above) / (n + zd) AS above FROM d JOIN ps USING (suffix), st),
+ab AS (SELECT host, g + zh * above AS a, n - g + zh * (1 - above) AS b FROM h JOIN pd USING (domain), st),
+bd AS (SELECT host, a / (a + b) + 2.0 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM ab)
+SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN bound < 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN bd USING (host)
+"""
