@@ -175,8 +175,8 @@ def jaccard_pairs(spark, sf_dir):
     return a.join(b, "p_brand").where("a < b").select("p_brand", "a", "b", F.round(T.jaccard_distance(F.col("wa"), F.col("wb")), 6).alias("dist"))
 
 
-def _vectors(spark, sf_dir, key=F.col("label")):
-    return read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select(key.cast("long").alias("key"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+def _vectors(spark, sf_dir, key="label"):
+    return read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select(F.expr(key).cast("long").alias("key"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
 def cosine_pairs(spark, sf_dir):
@@ -286,7 +286,7 @@ def level_recommendation(spark, sf_dir):
 
 
 def leaf_eps(spark, sf_dir):
-    known = distance.vector_pairs(_vectors(spark, sf_dir, F.floor(F.col("label") / 2)), 2.0)
+    known = distance.vector_pairs(_vectors(spark, sf_dir, "label div 2"), 2.0)
     label = read(spark, sf_dir, "embeddings", "vec_id", "label")
     side = lambda c: label.select(F.col("vec_id").alias(c), F.col("label").alias(f"l{c}"))
     told = known.join(side("i"), "i").join(side("j"), "j").select(((F.col("i") + F.col("j")) % 4).alias("leaf"), (F.col("li") == F.col("lj")).cast("int").alias("label"), "dist")
