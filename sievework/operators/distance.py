@@ -68,10 +68,9 @@ def _words(text: str) -> set[str]:
     return {w for w in (x.strip("'\"") for x in text.split()) if w}
 
 
-def block_distances(left: list, right: list) -> np.ndarray:
-    """Distances of two lists of items (their ``slots``): the mean of the slots' distances, by weight, over slots that
-    both have active; 0 where there is none."""
-    total, weights = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)))
+def slot_distances(left: list, right: list) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each slot of two lists of items (their ``slots``): where both have it active, the distances, its weight."""
+    out = []
     for k in range(len(left[0] or ()) if left else 0):
         a, b = [x[k] for x in left], [x[k] for x in right]
         mask = np.outer([x["active"] for x in a], [x["active"] for x in b])
@@ -87,23 +86,61 @@ def block_distances(left: list, right: list) -> np.ndarray:
             d = np.where(union == 0, 0.0, 1 - both / np.where(union == 0, 1, union))
         else:
             width = max((len(x["vector"]) for x in a + b if x["vector"] is not None), default=1)
-            v = np.array([x["vector"] if x["vector"] is not None else [0.0] * width for x in a + b])
-            v = _unit(v)
+            v = _unit(np.array([x["vector"] if x["vector"] is not None else [0.0] * width for x in a + b]))
             d = 1 - np.clip(v[: len(a)] @ v[len(a) :].T, -1, 1)
             names = np.array([x["text"] for x in a + b])
             d[names[: len(a), None] == names[None, len(a) :]] = 0.0
-        w = a[0]["weight"] * mask
-        total += w * d
-        weights += w
-    return np.where(weights > 0, total / np.where(weights > 0, weights, 1), 0.0)
+        out.append((mask, d, a[0]["weight"]))
+    return out
+
+
+def weighted_mean(slots: list[tuple[np.ndarray, np.ndarray, float]], weights: list[float], shape: tuple[int, int]) -> np.ndarray:
+    """The mean of the slots' distances, by weight, over slots that both have active; 0 where there is none."""
+    total, share = np.zeros(shape), np.zeros(shape)
+    for (mask, d, _), weight in zip(slots, weights, strict=True):
+        total += weight * mask * d
+        share += weight * mask
+    return np.where(share > 0, total / np.where(share > 0, share, 1), 0.0)
+
+
+def block_distances(left: list, right: list) -> np.ndarray:
+    slots = slot_distances(left, right)
+    return weighted_mean(slots, [w for _, _, w in slots], (len(left), len(right)))
+
 
+def forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The places of pairs that join what pairs before them haven't: as good as all of them for components."""
+    top: dict[int, int] = {}
 
-def pairs(packed: DataFrame, thresholds: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
-    """``rule_id``, ``i``, ``j`` (i < j) and ``dist`` of pairs within their rule's ``eps``, or all without thresholds."""
-    sizes = packed.groupBy("rule_id").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    limit = sizes.join(thresholds, "rule_id", "left") if thresholds is not None else sizes.withColumn("eps", F.lit(float("inf")))
-    dealt = packed.join(limit, "rule_id").withColumn("own", F.pmod(F.xxhash64("gid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).select("rule_id", "x", "y", "own", "gid", "slots", "eps")
+    def find(x: int) -> int:
+        while top.get(x, x) != x:
+            top[x] = top.get(top[x], top[x])
+            x = top[x]
+        return x
+
+    kept = []
+    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        a, b = find(a), find(b)
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            kept.append(k)
+    return np.array(kept, dtype=np.int64)
+
+
+def dealt_blocks(items: DataFrame, key: str, gid: str, block: int) -> DataFrame:
+    """``items`` once for each two blocks of their key that they belong to: ``x``, ``y``, and the block ``own``."""
+    sizes = items.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    every = items.join(sizes, key).withColumn("own", F.pmod(F.xxhash64(gid), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return every.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "other")
+
+
+def pairs(packed: DataFrame, thresholds: DataFrame | None = None, block: int = BLOCK, links_only: bool = False) -> DataFrame:
+    """``rule_id``, ``i``, ``j`` (i < j) and ``dist`` of pairs within their rule's ``eps``, or all without thresholds.
+
+    With ``links_only`` a task gives as many pairs as components need, which is fewer than its items.
+    """
+    limit = packed.join(thresholds, "rule_id", "left") if thresholds is not None else packed.withColumn("eps", F.lit(float("inf")))
+    dealt = dealt_blocks(limit, "rule_id", "gid", block).select("rule_id", "x", "y", "own", "gid", "slots", "eps")
 
     def run(table):
         import pyarrow as pa
@@ -111,17 +148,18 @@ def pairs(packed: DataFrame, thresholds: DataFrame | None = None, block: int = B
         rows = sorted(table.select(["gid", "own", "slots", "eps"]).to_pylist(), key=lambda r: r["gid"])
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         left, right = [r for r in rows if r["own"] == x], [r for r in rows if r["own"] == y]
-        out: dict[str, list] = {"i": [], "j": [], "dist": []}
+        i = j = np.empty(0, dtype=np.int64)
+        dist = np.empty(0)
         if left and right:
             d = block_distances([r["slots"] for r in left], [r["slots"] for r in right])
-            near = d <= rows[0]["eps"] if rows[0]["eps"] is not None else np.ones_like(d, dtype=bool)
-            for p, q in zip(*np.nonzero(near), strict=True):
-                a, b = left[p]["gid"], right[q]["gid"]
-                if a < b if x == y else True:
-                    out["i"].append(min(a, b))
-                    out["j"].append(max(a, b))
-                    out["dist"].append(float(d[p, q]))
-        return pa.table({"rule_id": pa.array([table.column("rule_id")[0].as_py()] * len(out["i"]), pa.string()), "i": pa.array(out["i"], pa.int64()), "j": pa.array(out["j"], pa.int64()), "dist": pa.array(out["dist"], pa.float64())})
+            p, q = np.nonzero(d <= (rows[0]["eps"] if rows[0]["eps"] is not None else np.inf))
+            a, b = np.array([r["gid"] for r in left])[p], np.array([r["gid"] for r in right])[q]
+            keep = a < b if x == y else np.ones(len(a), dtype=bool)
+            i, j, dist = np.minimum(a, b)[keep], np.maximum(a, b)[keep], d[p, q][keep]
+            if links_only:
+                kept = forest(i, j)
+                i, j, dist = i[kept], j[kept], dist[kept]
+        return pa.table({"rule_id": pa.array([table.column("rule_id")[0].as_py()] * len(i), pa.string()), "i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "dist": pa.array(dist, pa.float64())})
 
     return dealt.groupBy("rule_id", "x", "y").applyInArrow(run, "rule_id string, i long, j long, dist double")
 
@@ -141,7 +179,7 @@ def cluster(groups: DataFrame, near: DataFrame) -> DataFrame:
 
 def weighted_clusters(groups: DataFrame, config: Config, embedder: Embedder) -> DataFrame:
     """Clusters by the weighted distance. ``gid`` is unique over all rules."""
-    return cluster(groups, pairs(items(groups, config, embedder), thresholds(groups, config)))
+    return cluster(groups, pairs(items(groups, config, embedder), thresholds(groups, config), links_only=True))
 
 
 def template_clusters(groups: DataFrame, embedder: Embedder, eps: float = 0.2) -> DataFrame:
@@ -149,14 +187,12 @@ def template_clusters(groups: DataFrame, embedder: Embedder, eps: float = 0.2) -
     return weighted_clusters(groups, Config(default_eps=eps, default_template_weight=1.0), embedder)
 
 
-def vector_pairs(vectors: DataFrame, eps: float, digits: int = 6, block: int = BLOCK) -> DataFrame:
+def vector_pairs(vectors: DataFrame, eps: float, digits: int = 6, block: int = BLOCK, links_only: bool = False) -> DataFrame:
     """``key``, ``i``, ``j``, ``dist`` (rounded) of vectors (``key``, ``id``, ``vector``) of one key within ``eps``.
 
     Blocks of a key meet two by two, so a key with most vectors is spread over many tasks.
     """
-    sizes = vectors.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = vectors.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).select("key", "x", "y", "own", "id", "vector")
+    dealt = dealt_blocks(vectors, "key", "id", block).select("key", "x", "y", "own", "id", "vector")
 
     def run(table):
         import pyarrow as pa
@@ -170,6 +206,9 @@ def vector_pairs(vectors: DataFrame, eps: float, digits: int = 6, block: int = B
         i, j, dist = ids[p[a]] if len(a) else ids[:0], ids[q[b]] if len(b) else ids[:0], d[a, b]
         keep = i < j if x == y else np.ones(len(i), dtype=bool)
         i, j, dist = i[keep], j[keep], dist[keep]
+        if links_only:
+            kept = forest(i, j)
+            i, j, dist = i[kept], j[kept], dist[kept]
         return pa.table({"key": pa.array(np.full(len(i), table.column("key")[0].as_py(), dtype=np.int64)), "i": pa.array(np.minimum(i, j)), "j": pa.array(np.maximum(i, j)), "dist": pa.array(dist)})
 
     return dealt.groupBy("key", "x", "y").applyInArrow(run, "key long, i long, j long, dist double")

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from sievework.functions import text as T
 from sievework.operators import evaluate
 from sievework.operators.components import components
-from sievework.operators.config import MATCH_MODES, Config, ConfigError, Rule, Tree, Variable, is_int, need, parse_rule, slot_plan
-from sievework.operators.distance import pairs, slot_text
+from sievework.operators.config import MATCH_MODES, Config, ConfigError, Rule, Slot, Tree, Variable, is_int, need, parse_rule, slot_plan
+from sievework.operators.distance import BLOCK, dealt_blocks, forest, slot_distances, slot_text, weighted_mean
 from sievework.operators.embed import Embedder, embed_texts
 
 EPS_VALUES, TEMPLATE_VALUES = (0.05, 0.1, 0.15, 0.2, 0.3), (0.0, 0.2)
@@ -121,18 +121,43 @@ def summary(entry: dict) -> str:
     return f"eps={float(entry.get('eps', 0.0))} template_weight={float(entry.get('template_weight', 0.0))} {' '.join(told)}".strip()
 
 
-def component_pairs(groups: DataFrame, plans: list, embedder: Embedder) -> DataFrame:
-    """``part``, ``i``, ``j``, ``dist`` for pairs of groups of one rule that both have the component ``part`` active.
+def component_items(groups: DataFrame, plans: list[tuple], embedder: Embedder) -> DataFrame:
+    """One rule's groups with a slot for each component (variable, levels, mode) of ``plans``."""
+    made = [F.struct(F.lit(k).alias("slot"), slot_text(Slot(v, levels, 1.0, mode)).alias("text"), F.lit(mode).alias("mode")) for k, (v, levels, mode) in enumerate(plans)]
+    rows = groups.select("gid", F.explode(F.array(*made)).alias("s")).select("gid", "s.*")
+    rows = rows.withColumn("active", T.strip(F.col("text")) != "")
+    vectors = embed_texts(rows.where("mode = 'embedding' and active"), embedder)
+    slot = F.struct("slot", "text", "active", F.lit(1.0).alias("weight"), "mode", "vector")
+    return rows.join(vectors, "text", "left").groupBy("gid").agg(F.sort_array(F.collect_list(slot)).alias("slots")).withColumn("key", F.lit(0))
 
-    ``plans`` lists the components as (variable, levels, mode).
-    """
-    from sievework.operators.config import Slot
 
-    made = [F.struct(F.lit(k).alias("part"), slot_text(Slot(v, levels, 1.0, mode)).alias("text"), F.lit(mode).alias("mode")) for k, (v, levels, mode) in enumerate(plans)]
-    rows = groups.select("gid", F.explode(F.array(*made)).alias("s")).select("gid", "s.*").where(T.strip(F.col("text")) != "")
-    vectors = embed_texts(rows.where("mode = 'embedding'"), embedder)
-    packed = rows.join(vectors, "text", "left").select(F.col("part").cast("string").alias("rule_id"), "gid", F.array(F.struct(F.lit(0).alias("slot"), "text", F.lit(True).alias("active"), F.lit(1.0).alias("weight"), "mode", "vector")).alias("slots"))
-    return pairs(packed).select(F.col("rule_id").cast("int").alias("part"), "i", "j", "dist")
+def candidate_links(packed: DataFrame, weights: list[list[float]], eps: list[float], block: int = BLOCK) -> DataFrame:
+    """``candidate``, ``i``, ``j``: the links that a candidate's components need.
+
+    Where two blocks of groups meet, the components' distances are formed once and serve all candidates.
+    """
+    dealt = dealt_blocks(packed, "key", "gid", block).select("key", "x", "y", "own", "gid", "slots")
+
+    def run(table):
+        import pyarrow as pa
+
+        rows = sorted(table.select(["gid", "own", "slots"]).to_pylist(), key=lambda r: r["gid"])
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        left, right = [r for r in rows if r["own"] == x], [r for r in rows if r["own"] == y]
+        out: dict[str, list] = {"candidate": [], "i": [], "j": []}
+        if left and right:
+            slots = slot_distances([r["slots"] for r in left], [r["slots"] for r in right])
+            a, b = np.array([r["gid"] for r in left]), np.array([r["gid"] for r in right])
+            for c, (w, limit) in enumerate(zip(weights, eps, strict=True)):
+                p, q = np.nonzero(weighted_mean(slots, w, (len(left), len(right))) <= limit)
+                i, j = np.minimum(a[p], b[q]), np.maximum(a[p], b[q])
+                kept = forest(i, j)
+                out["candidate"] += [c] * len(kept)
+                out["i"] += i[kept].tolist()
+                out["j"] += j[kept].tolist()
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+
+    return dealt.groupBy("key", "x", "y").applyInArrow(run, "candidate long, i long, j long")
 
 
 def score_candidates(groups: DataFrame, truth: DataFrame, config: Config, entries: list[dict], embedder: Embedder) -> DataFrame:
@@ -141,28 +166,14 @@ def score_candidates(groups: DataFrame, truth: DataFrame, config: Config, entrie
     ``groups`` are one rule's, with ``gid`` under 2**32; ``truth`` has ``gid`` and ``cluster``.
     """
     spark = groups.sparkSession
-    plans: list[tuple] = []
-    weights: list[tuple[int, int, float]] = []
-    heads: list[tuple[int, float, int, str]] = []
-    for c, entry in enumerate(entries):
-        plan = slot_plan(parse_rule(entry, config, f"candidate {c}"))
-        for s in plan:
-            part = (s.variable, s.levels, s.mode)
-            if part not in plans:
-                plans.append(part)
-            weights.append((c, plans.index(part), s.weight))
-        heads.append((c, float(entry["eps"]), len(plan), summary(entry)))
+    slots = [slot_plan(parse_rule(entry, config, f"candidate {c}")) for c, entry in enumerate(entries)]
+    plans = list(dict.fromkeys((s.variable, s.levels, s.mode) for plan in slots for s in plan)) or [(-1, None, "jaccard")]
+    weights = [[sum(s.weight for s in plan if (s.variable, s.levels, s.mode) == p) for p in plans] for plan in slots]
+    heads = [(c, float(entry["eps"]), len(plan), summary(entry)) for c, (entry, plan) in enumerate(zip(entries, slots, strict=True))]
     head = spark.createDataFrame(heads, "candidate long, eps double, parts int, summary string")
-    all_pairs = groups.select(F.col("gid").alias("i")).join(groups.select(F.col("gid").alias("j")), F.col("i") < F.col("j"))
-    if plans:
-        known = component_pairs(groups, plans, embedder).join(F.broadcast(spark.createDataFrame(weights, "candidate long, part int, weight double")), "part")
-        sums = known.groupBy("candidate", "i", "j").agg((F.sum(F.col("weight") * F.col("dist")) / F.sum("weight")).alias("dist"))
-    else:
-        sums = spark.createDataFrame([], "candidate long, i long, j long, dist double")
-    every = all_pairs.join(F.broadcast(head.select("candidate", "eps")))
-    near = every.join(sums, ["candidate", "i", "j"], "left").where(F.coalesce("dist", F.lit(0.0)) <= F.col("eps"))
+    near = candidate_links(component_items(groups, plans, embedder), weights, [h[1] for h in heads])
     edges = near.select((F.col("candidate") * SPAN + F.col("i")).alias("a"), (F.col("candidate") * SPAN + F.col("j")).alias("b"))
-    nodes = groups.select("gid").join(F.broadcast(head.select("candidate"))).withColumn("node", F.col("candidate") * SPAN + F.col("gid"))
+    nodes = groups.select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(entries) - 1).cast("long"))).alias("candidate")).withColumn("node", F.col("candidate") * SPAN + F.col("gid"))
     placed = nodes.join(components(edges), "node", "left").withColumn("predicted", F.coalesce("component", "node"))
     rows = placed.join(truth.select("gid", F.col("cluster").alias("truth")), "gid", "left").select("candidate", "truth", "predicted")
     sized = rows.groupBy("candidate").agg(F.count_distinct("predicted").alias("clusters"))

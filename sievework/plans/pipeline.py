@@ -30,12 +30,12 @@ def group_clusters(groups: DataFrame, config: Config | None, embedder: Embedder)
     several = groups.groupBy("rule_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     open_ = groups.join(several, "rule_id")
     if config is None:
-        near = distance.pairs(distance.items(open_, Config(default_template_weight=1.0), embedder), distance.thresholds(open_, Config())).select("i", "j")
+        near = distance.pairs(distance.items(open_, Config(default_template_weight=1.0), embedder), distance.thresholds(open_, Config()), links_only=True).select("i", "j")
     else:
         by_tree = [r for r, x in config.rules.items() if x.pairwise_tree]
         scaled = [r for r, x in config.rules.items() if x.adaptive_eps_tree and not x.pairwise_tree]
         rest = open_.where(~F.col("rule_id").isin(by_tree + scaled)) if by_tree or scaled else open_
-        near = distance.pairs(distance.items(rest, config, embedder), distance.thresholds(rest, config)).select("i", "j")
+        near = distance.pairs(distance.items(rest, config, embedder), distance.thresholds(rest, config), links_only=True).select("i", "j")
         for r in by_tree:
             rule = config.rules[r]
             near = near.unionByName(features.tree_pairs(open_.where(F.col("rule_id") == r), rule.pairwise_tree).where(F.col("dist") <= rule.eps).select("i", "j"))

@@ -185,7 +185,7 @@ def cosine_pairs(spark, sf_dir):
 
 def _vector_clusters(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings", "vec_id", "label")
-    near = distance.vector_pairs(_vectors(spark, sf_dir), EPS)
+    near = distance.vector_pairs(_vectors(spark, sf_dir), EPS, links_only=True)
     joined = clusters(v.select(F.col("vec_id").alias("node")), near.select(F.col("i").alias("a"), F.col("j").alias("b")))
     return v.join(joined.withColumnRenamed("node", "vec_id"), "vec_id")
 
@@ -294,9 +294,9 @@ def leaf_eps(spark, sf_dir):
 
 
 def grid_search_topk(spark, sf_dir):
-    grid = spark.createDataFrame([(0, 0.6), (1, 0.7), (2, 0.75), (3, 0.8), (4, 0.85)], "candidate long, eps double")
-    near = distance.vector_pairs(_vectors(spark, sf_dir), 0.85).join(F.broadcast(grid)).where("dist <= eps")
-    v = read(spark, sf_dir, "embeddings", "vec_id", "label").join(F.broadcast(grid)).withColumn("node", F.col("candidate") * tuning.SPAN + F.col("vec_id"))
+    grid = F.explode(F.array(*(F.struct(F.lit(k).alias("candidate"), F.lit(eps).alias("eps")) for k, eps in enumerate((0.6, 0.7, 0.75, 0.8, 0.85)))))
+    near = distance.vector_pairs(_vectors(spark, sf_dir), 0.85).select("i", "j", "dist", grid.alias("g")).select("i", "j", "dist", "g.*").where("dist <= eps")
+    v = read(spark, sf_dir, "embeddings", "vec_id", "label").select("vec_id", "label", grid.alias("g")).select("vec_id", "label", "g.*").withColumn("node", F.col("candidate") * tuning.SPAN + F.col("vec_id"))
     at = lambda c: F.col("candidate") * tuning.SPAN + F.col(c)
     joined = clusters(v.select("node"), near.select(at("i").alias("a"), at("j").alias("b")))
     rows = v.join(joined, "node").select("eps", F.col("label").alias("truth"), F.col("component").alias("predicted"))
