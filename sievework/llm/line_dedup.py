@@ -2,8 +2,8 @@
 
 Rolling hashes over the hashes of neighbouring lines choose where a chunk ends, so equal passages are cut alike
 whatever stands before them. A chunk has two lines at least. A line with several sentences is cut in the same way within
-itself, with its sentences as lines, since a passage may be one long line; its ends are ends of chunks as well. A
-chunk's digest is counted over all documents. Of the places of a digest the first (by ``doc_id``, then position) keeps
+itself, with its sentences as lines, since a passage may be one long line; its ends are ends of chunks as well, and long
+sentences are wrapped after words that their hashes choose. A chunk's digest is counted over all documents. Of the places of a digest the first (by ``doc_id``, then position) keeps
 its chunk. Every other place is compared with the first one's bytes and loses the chunk if they are equal. A line of
 which nothing stays goes with its line break.
 
@@ -30,9 +30,12 @@ from pyspark.sql.types import LongType, StructField, StructType
 from sievework.llm.shared import materialize, small_batches
 
 #: A chunk ends after a line with the probability of one over this, if it has two lines.
-DIVISOR = 3
+DIVISOR = 2
 LEAST_LINES, LEAST_CHARS = 2, 40
 SENTENCE_END = re.compile(r"(?<=[.!?])\x20+")
+#: A sentence of more characters is wrapped after words whose hash says so, one in WRAP of them.
+LONG_SENTENCE, WRAP = 160, 8
+WORD_END = re.compile(r"\S+(?:\s+|$)")
 MASK64 = 2**64 - 1
 #: Cells of a set of hashed keys.
 CELLS = 1 << 20
@@ -64,6 +67,23 @@ def cut(text: str, spans: list[tuple[int, int]], whole: bool) -> list[tuple[int,
     return out
 
 
+def sentences(line: str) -> list[tuple[int, int]]:
+    """The sentences of a line; long ones are wrapped at words chosen by their hashes."""
+    out, start = [], 0
+    for end, after in [*(m.span() for m in SENTENCE_END.finditer(line)), (len(line), len(line))]:
+        if end - start > LONG_SENTENCE:
+            begin = start
+            for m in WORD_END.finditer(line, start, end):
+                if xxhash.xxh3_64_intdigest(m.group().rstrip()) % WRAP == 0 and m.end() < end:
+                    out.append((begin, m.end()))
+                    begin = m.end()
+            out.append((begin, end))
+        elif start < end:
+            out.append((start, end))
+        start = after
+    return out
+
+
 def chunks(text: str) -> list[tuple[int, int]]:
     """The chunks of a text, of lines and of sentences within lines, as places in it."""
     lines, found, at = [], [], 0
@@ -71,13 +91,9 @@ def chunks(text: str) -> list[tuple[int, int]]:
         end = at + len(line)
         if line and not line.isspace():
             lines.append((at, end))
-            marks = [m.span() for m in SENTENCE_END.finditer(line)]
-            if marks:
-                starts = [0, *(e for _, e in marks)]
-                stops = [*(s for s, _ in marks), len(line)]
-                sentences = [(at + s, at + e) for s, e in zip(starts, stops, strict=True) if s < e]
-                if len(sentences) >= LEAST_LINES:
-                    found += cut(text, sentences, True)
+            parts = [(at + s, at + e) for s, e in sentences(line)]
+            if len(parts) >= LEAST_LINES:
+                found += cut(text, parts, True)
         at = end + 1
     return [x for x in cut(text, lines, False) + found if x[1] - x[0] >= LEAST_CHARS]
 
