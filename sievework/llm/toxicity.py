@@ -33,7 +33,7 @@ EXAMPLES = 2048
 FEATURES, LEAST_DOCUMENTS, LEAST_CHI2 = 2048, 6, 15.0
 #: How many times as often a feature must be in documents of label 1 as in those of label 0.
 LEAST_LIFT = 4.0
-GRAMS = (4, 5)
+GRAMS = (4, 6)
 FOLDS = 5
 NEIGHBOURS, BLOCK = 15, 64
 #: Added to the sum of cosines, as a vote for label 0.
