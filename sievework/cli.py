@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from copy import deepcopy
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -119,7 +120,7 @@ def _group(spark, args, console, warn, warnings, records: DataFrame, source: str
 
 def _gca(spark, args, console, warn, warnings) -> int:
     reports.require_readable(spark, args.report)
-    config = C.load_config(args.rule_config) if args.rule_config else C.Config()
+    config = C.config_at(args.rule_config)
     return _group(spark, args, console, warn, warnings, parse.records(reports.read_lines(spark, args.report)), args.report, config, sanity_item="gca")
 
 
@@ -152,7 +153,7 @@ def _gca_distances(spark, args, console, warn, warnings) -> int:
     groups = store(rule_groups(reports.read_results(spark, args.logic)[1], args.rule), "rule")
     if groups.isEmpty():
         raise ValueError(f"no logic groups of rule {args.rule}")
-    config = C.load_config(args.rule_config) if args.rule_config else C.Config()
+    config = C.config_at(args.rule_config)
     rule = config.rule(args.rule)
     embedder = None if rule.pairwise_tree else embedder_of(args, warn)[0]
     truth = rule_truth(spark, args.truth, groups, args.rule) if args.truth else spark.createDataFrame([], "gid long, cluster long")
@@ -168,7 +169,7 @@ def _gca_distances(spark, args, console, warn, warnings) -> int:
 
 
 def _raw_config(path: str | None) -> dict:
-    return json.loads(Path(path).read_text(encoding="utf-8")) if path else {}
+    return json.loads(Path(path).read_text(encoding="utf-8")) if path else deepcopy(C.BUNDLED)
 
 
 def _write_config(path: str | None, raw: dict, console) -> None:
@@ -179,7 +180,7 @@ def _write_config(path: str | None, raw: dict, console) -> None:
 def _gca_fit_weights(spark, args, console, warn, warnings) -> int:
     if args.top_k < 1:
         raise ValueError("--top-k must be 1 or more")
-    raw, config = _raw_config(args.rule_config), C.load_config(args.rule_config) if args.rule_config else C.Config()
+    raw, config = _raw_config(args.rule_config), C.config_at(args.rule_config)
     groups = store(rule_groups(reports.read_results(spark, args.logic)[1], args.rule), "rule")
     truth = store(rule_truth(spark, args.truth, groups, args.rule), "truth")
     variables = [int(x) for x in args.variables.split(",")] if args.variables else None
@@ -198,7 +199,7 @@ def _gca_fit_weights(spark, args, console, warn, warnings) -> int:
 
 
 def _gca_fit_adaptive_eps(spark, args, console, warn, warnings) -> int:
-    raw, config = _raw_config(args.rule_config), C.load_config(args.rule_config) if args.rule_config else C.Config()
+    raw, config = _raw_config(args.rule_config), C.config_at(args.rule_config)
     groups = store(rule_groups(reports.read_results(spark, args.logic)[1], args.rule), "rule")
     truth = store(rule_truth(spark, args.truth, groups, args.rule), "truth")
     specs = C.load_features(args.features)

@@ -26,6 +26,33 @@ DEFAULT_FEATURES = (
     {"kind": "level_jaccard", "levels": [-4, -3]},
     {"kind": "path_length_diff"},
 )
+#: The rules in force where no configuration is named.
+BUNDLED = {
+    "default_eps": 0.2, "default_template_weight": 0.3, "default_variable_weight": 0.7,
+    "rules": {
+        "CGR_0018": {"eps": 0.04, "template_weight": 0, "variables": {"0": {"weight": 0}, "1": {"weight": 1.0}}},
+        "DES_0001": {
+            "eps": 1.0, "template_weight": 0,
+            "adaptive_eps_tree": {
+                "features": [{"kind": "path_tfidf_char_wb", "ngram_range": [3, 6]}, {"kind": "suffix_similarity", "max_shift": 3, "decay": 0.65}],
+                "nodes": [
+                    {"feature": 0, "threshold": 0.369, "left": 1, "right": 4},
+                    {"feature": 0, "threshold": 0.306, "left": 2, "right": 3},
+                    {"value": 0.001},
+                    {"value": 0.147},
+                    {"feature": 0, "threshold": 0.563, "left": 5, "right": 8},
+                    {"feature": 1, "threshold": 0.621, "left": 6, "right": 7},
+                    {"value": 0.543},
+                    {"value": 0.014},
+                    {"feature": 0, "threshold": 0.611, "left": 9, "right": 10},
+                    {"value": 0.393},
+                    {"value": 0.396},
+                ],
+            },
+            "variables": {"0": {"weight": 1.0, "levels": [-2], "match_mode": "embedding"}},
+        },
+    },
+}
 
 
 class ConfigError(ValueError):
@@ -214,6 +241,11 @@ def load_config(path: str, strict: bool = True, warn: Callable[[str], None] = la
         return Config()
 
 
+def config_at(path: str | None) -> Config:
+    """The configuration at ``path``, which has to be usable, or the bundled one."""
+    return load_config(path) if path else parse_config(BUNDLED)
+
+
 def slot_plan(rule: Rule) -> list[Slot]:
     """The compared texts of a rule; what has no weight is left out, so it is never embedded."""
     plan = [Slot(-1, None, rule.template_weight, "embedding")] if rule.template_weight > 0 else []

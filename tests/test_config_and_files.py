@@ -17,6 +17,12 @@ def test_good_config():
     assert (c.rule("other").eps, c.rule("other").template_weight) == (0.3, 0.3)
 
 
+def test_bundled_config():
+    c = C.config_at(None)
+    assert c.rule("CGR_0018").eps == 0.04 and [s.variable for s in C.slot_plan(c.rule("CGR_0018"))] == [1]
+    assert len(c.rule("DES_0001").adaptive_eps_tree.nodes) == 11 and c.rule("DES_0001").variables[0].levels == (-2,)
+
+
 def rule(**entry):
     return {"rules": {"R": entry}}
 
