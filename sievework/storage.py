@@ -17,18 +17,32 @@ def shared_folder(spark: SparkSession) -> str:
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local[") and context.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _local.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="sievework-"))
 
 
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_folder(spark)}/sievework/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
 def store(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` and read it back: cuts lineage, and fixes what isn't deterministic, such as partition numbers."""
-    path = f"{shared_folder(df.sparkSession)}/sievework/{tag}-{uuid.uuid4().hex}"
+    """Write ``df`` and read it back: cuts lineage, and fixes what isn't deterministic, such as partition numbers.
+
+    The files outlive lost executors, so nothing before them is computed twice.
+    """
+    path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what this application stored; call it when its results are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/sievework/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ranked(df: DataFrame, order: list[Column], name: str = "seq") -> DataFrame:
     """``df`` with its 1-based place in a total ``order``, without bringing the rows into one task.
 
