@@ -22,6 +22,9 @@ meet as often as the smaller k of the two asks for.
 Results for odd input: a null or empty text has no shingles and its own id as component; a null ``doc_id`` is linked
 with nothing and has a null component; repeated rows have equal sets, so they fall into one class; rows that share a
 ``doc_id`` count as one document in links. An empty table gives an empty result. Sets are compared by 64-bit hashes; texts are read whole.
+
+The documents should come from stored files, as sets are numbered by their place in a split: a split that is read again
+after a loss has to give its rows in the same order.
 """
 
 from __future__ import annotations
@@ -32,9 +35,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.components import components
 from sievework.llm.shared import documents, materialize, small_batches
 from sievework.llm.shingles import mix, shingles
+from sievework.operators.components import components
 
 PERCENT = 75
 #: Shingles that a worker holds before it deals them out, and about how many a range of them has.

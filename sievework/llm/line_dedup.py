@@ -3,9 +3,9 @@
 Rolling hashes over the hashes of neighbouring lines choose where a chunk ends, so equal passages are cut alike
 whatever stands before them. A chunk has two lines at least. A line with several sentences is cut in the same way within
 itself, with its sentences as lines, since a passage may be one long line; its ends are ends of chunks as well, and long
-sentences are wrapped after words that their hashes choose. A chunk's digest is counted over all documents. Of the places of a digest the first (by ``doc_id``, then position) keeps
-its chunk. Every other place is compared with the first one's bytes and loses the chunk if they are equal. A line of
-which nothing stays goes with its line break.
+sentences are wrapped after words that their hashes choose. A chunk's digest is counted over all documents. Of the places
+of a digest the first (by ``doc_id``, then position) keeps its chunk. Every other place is compared with the first one's
+bytes and loses the chunk if they are equal. A line of which nothing stays goes with its line break.
 
 Results for odd input: a null text stays null and an empty one empty; rows that share a ``doc_id`` count as one
 document, so repeated rows have equal results; rows with a null ``doc_id`` stay as they are; chunks under the least

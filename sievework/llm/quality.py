@@ -9,7 +9,8 @@ is fixed, and what is exploded is summed by row before any exchange.
 
 Results for odd input: a null or empty text has no words, fails the base rules and has no score; repeated rows are
 judged one by one; without labels, or without any labelled as good, the score is 0 for all texts and the base rules
-decide. An empty table gives an empty result.
+decide. An empty table gives an empty result. The documents should come from stored files, as rows are numbered by their
+place in a split, which has to be the same when a split is read again.
 """
 
 from __future__ import annotations

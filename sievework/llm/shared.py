@@ -2,56 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.storage import fresh_path, release
+from sievework.storage import store as materialize
+
+__all__ = ["BATCH_ROWS", "SPACE_CLASS", "WORD_PATTERN", "documents", "fresh_path", "materialize", "partitions", "release", "small_batches", "table"]
+
 #: White space of every contract of this subpackage: space and \x09-\x0D, nothing else.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch; keeps a batch of long texts within a worker's memory.
 BATCH_ROWS = 512
 
-_local_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent a temporary folder is used, but only if the master is local.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_dirs.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="sievework-"))
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/sievework/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str, keys: list[str] | None = None) -> DataFrame:
-    """Cut lineage: write ``df`` as a table in the shared folder and read it back.
-
-    The files outlive lost executors, so nothing before them is computed twice.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    (df.repartition(*keys) if keys else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete what this application wrote by :func:`materialize`; call it when its results are stored."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sievework/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows that an Arrow batch brings to a Python worker."""
