@@ -181,3 +181,29 @@ def test_cuts_resist_shifts():
     a = {t[s:e] for t in ["\n".join(passage)] for s, e in line_dedup.chunks(t)}
     b = {t[s:e] for t in ["\n".join(lead + passage)] for s, e in line_dedup.chunks(t)}
     assert len(a & b) >= len(a) - 3
+
+
+def test_passages_glued_into_other_text_are_found_by_their_own_words():
+    """Passages of 50 to 120 words, in the midst of lines of otherwise different texts."""
+    rng = random.Random(5)
+    words = lambda n: " ".join(sentences(rng, n // 9 + 1)).split()[:n]
+    shares = []
+    for _ in range(60):
+        passage = " ".join(words(rng.randint(50, 120)))
+        texts = [" ".join([*words(rng.randint(5, 80)), passage, *words(rng.randint(5, 80))]) for _ in range(2)]
+        known = {texts[0][s:e] for s, e in line_dedup.chunks(texts[0])}
+        at = texts[1].index(passage)
+        held = {p for s, e in line_dedup.chunks(texts[1]) if texts[1][s:e] in known for p in range(s, e)}
+        assert held <= set(range(at, at + len(passage)))
+        shares.append(len(held) / len(passage))
+    assert min(shares) > 0.4 and sum(shares) / len(shares) > 0.8
+
+
+def test_chunks_of_texts_cut_together_are_those_of_each_alone():
+    rng = random.Random(6)
+    texts = ["\n".join(" ".join(sentences(rng, rng.randint(1, 4))) for _ in range(rng.randint(1, 6))) for _ in range(20)]
+    texts += ["", "\n\n", "short", "a b\nc d\n" * 20, "漢字" * 60 + "。\n" + "仮名" * 60, "one 😀 two " * 9, "x " * 500]
+    which, starts, ends, _ = line_dedup.cut(texts)
+    for k, t in enumerate(texts):
+        assert [(int(s), int(e)) for s, e in zip(starts[which == k], ends[which == k], strict=True)] == line_dedup.chunks(t)
+    assert line_dedup.chunks(texts[23]) and line_dedup.chunks(texts[24])
