@@ -186,6 +186,31 @@ def test_masking(spark):
     assert secrets.masked(docs).columns == docs.columns
 
 
+def test_short_and_partly_marked_runs_are_scored(spark):
+    rng = random.Random(8)
+    make = lambda s, n: "".join(rng.choice(s) for _ in range(n))
+    mixed = "ABCDEFGHIJ0123456789"
+    texts = [f"{make('ghijklmnop', 14)} token: {make(mixed, rng.randint(12, 15))} {make('ghijklmnop', 18)}" for _ in range(300)]
+    short, hexed = make(mixed, 13), make(mixed, 20) + make("abcdef0123456789", 16) + make(mixed, 20)
+    docs = table(spark, list(enumerate([*texts, f"see {short} there", f"see {hexed} there", "see " + make("ghijklmnop", 13)])))
+    spans = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    assert spans[300] == "format:4:17" and "format:4:60" in spans[301].split(",") and spans[302] == ""
+    assert all("format" not in spans[k] for k in range(300))  # a value that its base span holds is not found twice
+    got = {r.doc_id: r.text for r in secrets.masked(docs).collect()}
+    assert got[300] == got[301] == f"see {secrets.MASK} there"
+
+
+def test_held_brute():
+    rng = random.Random(9)
+    for _ in range(300):
+        at = sorted(rng.sample(range(60), 8))
+        runs = list(zip(at[::2], at[1::2], strict=True))
+        spans = sorted((rng.randrange(3), s, s + rng.randint(1, 25)) for s in rng.choices(range(60), k=rng.randint(0, 5)))
+        spans.sort(key=lambda x: (x[1], x[0]))
+        places = {p for _, s, e in spans for p in range(s, e)}
+        assert secrets.held(runs, spans) == [places >= set(range(s, e)) for s, e in runs]
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(7)
     rows = [(int(k), int(rng.integers(2)), f := sorted(rng.choice(50, rng.integers(0, 9), replace=False).tolist()), [int(c) for c in rng.integers(1, 4, len(f))]) for k in range(300)]
