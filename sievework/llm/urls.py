@@ -1,6 +1,8 @@
 """URL filters: rules by host and path, and empirical-Bayes host reputation for what no rule judges.
 
-Pages that a rule judges are the labelled outcomes. Outcomes are counted by host, registered domain and suffix. From
+Pages that a rule judges are the labelled outcomes. Outcomes are counted by host, registered domain and suffix; a
+suffix is the last label, or the last two where ``SUFFIXES`` has them, a port doesn't count, and a numeric address is a
+domain and suffix of its own. From
 the suffix down, each unit's rate of good outcomes gets a beta prior around the posterior mean of the unit above it; a
 level's prior strength comes from how far its units' rates differ (method of moments for the beta-binomial). A page
 that no rule judges is blocked if the upper bound of its host's posterior is under the threshold. Everything is
@@ -24,6 +26,16 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 #: Width of the bound in standard deviations, and the rate of good outcomes that it is held against.
 WIDTH, THRESHOLD = 2.0, 0.5
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 10_000.0
+#: Suffixes of two labels under which domains are registered, the usual ones; any other suffix is a host's last label.
+SUFFIXES = tuple(
+    f"{x}.{country}"
+    for country, kinds in (
+        ("uk", "co org ac gov me net ltd plc sch nhs"), ("au", "com net org edu gov id asn"), ("nz", "co net org ac govt school"), ("za", "co org net ac gov web"), ("jp", "co or ne ac ad ed go gr lg"),
+        ("kr", "co or ne re pe go ac"), ("in", "co net org ac gov edu res"), ("il", "co org net ac gov"), ("br", "com net org gov edu"), ("mx", "com net org gob edu"), ("ar", "com net org gob edu"), ("co", "com net org gov edu"),
+        ("cn", "com net org gov edu ac"), ("hk", "com net org gov edu"), ("tw", "com net org gov edu"), ("sg", "com net org gov edu"), ("my", "com net org gov edu"), ("th", "co or ac go in"), ("id", "co or ac go web"), ("tr", "com net org gov edu"), ("ua", "com net org gov edu"),
+    )
+    for x in kinds.split()
+)
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -43,12 +55,22 @@ def ruled(parsed: DataFrame, rules=RULES) -> DataFrame:
     return parsed.withColumns({"rule": rule, "ruling": ruling})
 
 
+def _address(host: Column) -> tuple[Column, Column]:
+    """The host without its port, and whether it is a numeric address."""
+    bare = F.regexp_replace(host, r":[0-9]*$", "")
+    return bare, bare.rlike(r"^([0-9]+(\.[0-9]+){3}|\[.*\])$")
+
+
 def domain(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    bare, numeric = _address(host)
+    two = F.substring_index(bare, ".", -2)
+    return F.when(numeric, bare).when(two.isin(*SUFFIXES), F.substring_index(bare, ".", -3)).otherwise(two)
 
 
 def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    bare, numeric = _address(host)
+    two = F.substring_index(bare, ".", -2)
+    return F.when(numeric, bare).when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(bare, ".", -1))
 
 
 def _strength(units: DataFrame, mean: float) -> float:

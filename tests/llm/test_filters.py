@@ -138,6 +138,15 @@ def test_url_posteriors_brute(spark):
             assert r.verdict == ("block" if bound < urls.THRESHOLD else "allow")
 
 
+def test_registered_domains(spark):
+    want = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.com.au:8080": ("y.com.au", "com.au"), "a.example.org": ("example.org", "org"), "example.org:80": ("example.org", "org"),
+        "10.1.2.3": ("10.1.2.3", "10.1.2.3"), "10.9.2.3:81": ("10.9.2.3", "10.9.2.3"), "[::1]:80": ("[::1]", "[::1]"), "h": ("h", "h"), "": ("", ""),
+    }
+    got = spark.createDataFrame([(h,) for h in want], "host string").select("host", urls.domain(F.col("host")).alias("d"), urls.suffix(F.col("host")).alias("s")).collect()
+    assert {r.host: (r.d, r.s) for r in got} == want
+
+
 def test_url_main_path_has_no_python(spark):
     plan = urls.judge(spark.read.parquet(f"{SF}/pages.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
