@@ -1,25 +1,30 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Features are words and character n-grams within words. The ones that a bounded sample of labelled documents ties to
-label 1 (chi-square, and several times the rate of label 0) make up the vocabulary; document frequencies are counted
-over all documents. One pass of an Aho-Corasick automaton finds a text's features. The labelled examples
-are an inverted index: for each feature the examples that have it, in blocks, with the greatest weight of each block. A
-query takes blocks by their upper bounds and stops when no block left can reach its k-th best cosine, so the k nearest
-are exact. Neighbours vote by their cosine, and a logistic curve fitted on the examples' own leave-one-out votes turns
-the vote into a probability at the corpus' rate of labels.
-
-Labels are learnt only from rows whose hash of the id isn't held out. Nothing but the text makes a score.
-
-Results for odd input: a null or empty text and one without any feature has no neighbours, and the score of a vote of
-0; repeated rows give repeated results; repeated labels count once, null labels not at all; without examples of both
-labels every score is the rate of the label, or 0. An empty table gives an empty result. Texts are read whole.
+Features are all words of a text and their first letters (``PREFIXES``), hashed to ``CELLS`` cells. Document frequencies
+are counted over all documents, and a text's vector has every one of its features with the weight (1 + ln tf) * idf.
+A bounded sample of labelled documents of both labels is an inverted index: for each feature the examples that have it.
+The lists of frequent features are cut into blocks of examples, with the greatest weight of each block. A text adds up
+its rare features' lists, bounds each block by that and the greatest weights, and takes its most promising blocks first;
+of the others only those whose bound reaches its k-th best cosine are looked at, so the k nearest are exact. Similar
+examples share blocks, which keeps the bounds of blocks in other languages low.
+
+Neighbours vote by their cosine. The examples' own votes, each without itself, choose k (the least log loss) and fit a
+logistic curve that turns a vote into a probability at the rate of the labels. Labels are learnt only from rows whose
+hash of the id isn't held out; nothing else is chosen by labels, and nothing but the text makes a score.
+
+Results for odd input: a null or empty text, or one that shares no feature with any example, has no neighbours and the
+rate of label 1 as its score; repeated rows give equal results; of rows that share a labelled ``doc_id`` the smallest
+text is the example; a repeated label counts once, the greatest if they differ, null labels not at all; without
+examples of both labels every score is the rate, 0 without any. An empty table gives an empty result. Texts are read whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+import uuid
+from collections import Counter
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -29,169 +34,255 @@ from sievework.llm.shared import documents, materialize, small_batches
 
 #: Examples of each label at most, in the order of a hash of their ids.
 EXAMPLES = 2048
-#: Features at most, the documents that a feature must be in, and the least chi-square.
-FEATURES, LEAST_DOCUMENTS, LEAST_CHI2 = 2048, 6, 15.0
-#: How many times as often a feature must be in documents of label 1 as in those of label 0.
-LEAST_LIFT = 4.0
-GRAMS = (4, 6)
+#: Cells of the hashed features; the table of frequencies that workers get has as many numbers.
+CELLS = 1 << 20
+#: Lengths of the beginnings of a word that are features beside the word.
+PREFIXES = (4, 5, 6)
 FOLDS = 5
-NEIGHBOURS, BLOCK = 15, 64
-#: Added to the sum of cosines, as a vote for label 0.
-DOUBT = 0.2
+#: Numbers of neighbours to choose from, and examples of a block.
+NEIGHBOURS, BLOCK = (15, 50, 100, 200), 128
+#: Neighbours that a result names.
+EVIDENCE = 5
+#: Words whose features a worker remembers, and texts whose neighbours it does.
+KNOWN_WORDS, KNOWN_TEXTS = 200_000, 20_000
+#: The most frequent features of the examples, whose lists are cut into blocks, and texts that are looked up together.
+COMMON, TEXTS = 1024, 128
 
-BETWEEN = re.compile(r"\W+")
+WORD = re.compile(r"\w+")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == 0
 
 
-def plain(text: str) -> str:
-    """The words of a text in lower case, with a space on either side of each."""
-    return f" {BETWEEN.sub(' ', text.lower()).strip()} "
+def word_features(word: str) -> list[str]:
+    """The word with its ends marked, and its beginnings."""
+    return [f" {word} ", *(f" {word[:k]}" for k in PREFIXES if len(word) > k)]
 
 
-def word_features(word: str) -> set[str]:
-    """The word and its n-grams, with spaces for its ends."""
-    marked = f" {word} "
-    return {marked} | {marked[k : k + n] for n in GRAMS for k in range(len(marked) - n + 1)}
-
-
-def examples(docs: DataFrame, labels: DataFrame) -> DataFrame:
+class Features:
+    """The cells of a text's features."""
+
+    def __init__(self):
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.table = np.full((1024, 1 + len(PREFIXES)), -1, np.int32)
+
+    def _add(self, word: str) -> int:
+        import xxhash
+
+        k = self.known[word] = len(self.known)
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+        for c, f in enumerate(word_features(word)):
+            self.table[k, c] = xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) % CELLS
+        return k
+
+    def cells(self, words: list[str]) -> np.ndarray:
+        """One row for each word, -1 where it has no more features."""
+        if len(self.known) >= KNOWN_WORDS:
+            self._clear()
+        known = self.known.get
+        rows = [k if (k := known(w)) is not None else self._add(w) for w in words]
+        return self.table[np.array(rows, np.int64)]  # after the words, as these may make it grow
+
+    def all(self, text: str) -> np.ndarray:
+        """The cells of all features, some more than once."""
+        found = self.cells(list(set(WORD.findall(text.lower()))))
+        return found[found >= 0]
+
+    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of all features in order, and how often each is in the text."""
+        words = Counter(WORD.findall(text.lower()))
+        found = self.cells(list(words))
+        real = found >= 0
+        every = found[real]
+        if not len(every):
+            return every, np.zeros(0, np.int64)
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), real.sum(axis=1))
+        order = np.argsort(every)
+        every = every[order]
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        return every[first], np.add.reduceat(times[order], first)
+
+
+def examples(docs: DataFrame, known: DataFrame) -> DataFrame:
     """``doc_id``, ``toxic`` and ``text`` of the bounded sample of labelled documents."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES) for y in (0, 1)]
-    return documents(docs).join(F.broadcast(first[0].unionByName(first[1])), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
-
-
-def choose(sample: DataFrame) -> list[str]:
-    """The vocabulary: features of the sample by chi-square, the strongest first."""
-
-    def count(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            found: dict[str, list[int]] = {}
-            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for f in {f for w in set(plain(text).split()) for f in word_features(w)}:
-                    found.setdefault(f, [0, 0])[toxic] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())], ["feature", "clean", "toxic"])
-
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = float(sizes.get(0, 0)), float(sizes.get(1, 0))
-    if not n0 or not n1:
-        return []
-    counts = sample.select("toxic", "text").mapInArrow(count, "feature string, clean long, toxic long")
-    counts = counts.groupBy("feature").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")).where(F.col("a") + F.col("b") >= LEAST_DOCUMENTS)
-    a, b, n = F.col("a"), F.col("b"), n0 + n1
-    chi2 = n * F.pow(a * n1 - b * n0, F.lit(2)) / (n0 * n1 * (a + b) * (n - a - b + 0.5))
-    lift = (b + 0.5) / n1 / ((a + 0.5) / n0)
-    rows = counts.withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (lift >= LEAST_LIFT)).orderBy(F.desc("chi2"), "feature").limit(FEATURES).collect()
-    return [r["feature"] for r in rows]
+    found = documents(docs).join(F.broadcast(first[0].unionByName(first[1])), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
-class Features:
-    """Finds the features of a text, by number, with counts."""
-
-    def __init__(self, vocabulary: list[str]):
-        import ahocorasick
-
-        self.automaton = ahocorasick.Automaton()
-        for k, f in enumerate(vocabulary):
-            self.automaton.add_word(f, k)
-        if vocabulary:
-            self.automaton.make_automaton()
+def learnt(labels: DataFrame) -> DataFrame:
+    """``doc_id`` and ``toxic``, once for each labelled document that isn't held out."""
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    return known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
-    def count(self, text: str) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for _, f in self.automaton.iter(plain(text)) if len(self.automaton) else ():
-            out[f] = out.get(f, 0) + 1
-        return out
 
-
-def vectors(texts: DataFrame, vocabulary: list[str], *keep: str) -> DataFrame:
-    """The columns ``keep`` with ``features`` (numbers in order) and their ``counts``."""
-    small_batches(texts.sparkSession)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*keep).schema) + ", features array<int>, counts array<int>"
+def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many documents each cell is, and the number of documents. A task sends each cell once."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
-        made = Features(vocabulary)
+        made, total, n = Features(), np.zeros(CELLS, np.int64), 0
         for b in batches:
-            found = [sorted(made.count(x).items()) for x in b.column(len(keep)).to_pylist()]
-            lists = [pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *lists], [*keep, "features", "counts"])
+            for text in b.column(0).to_pylist():
+                total[made.all(text)] += 1  # once, however often a cell is listed
+            n += b.num_rows
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)].astype(np.int32)), pa.array(total[at[k : k + (1 << 16)]])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64())], ["cell", "n"])
+
+    summed = documents(docs).select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    cell, n = summed.column("cell").to_numpy(), summed.column("n").to_numpy()
+    out = np.zeros(CELLS, np.int64)
+    out[cell[cell >= 0]] = n[cell >= 0]
+    return out, int(n[cell < 0].sum())
+
+
+def weights(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights at length 1."""
+    w = (1 + np.log(counts)) * idf
+    return w / math.sqrt(w @ w)
 
-    return texts.select(*keep, "text").mapInArrow(run, schema)
+
+def _flat(lo: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``lo``, one after the other."""
+    return np.arange(lengths.sum()) + np.repeat(lo - (np.cumsum(lengths) - lengths), lengths)
 
 
 @dataclass
-class Index:
-    """Examples by feature, in blocks. ``bound`` has the greatest weight by feature and block; a feature's examples of a
-    block are at ``starts[feature, block]`` to the next start in ``example`` and ``weight``."""
+class Sample:
+    """The labelled examples as they are sent to workers: example ``k`` has the cells from ``ends[k]`` to ``ends[k + 1]``."""
 
-    idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
-    bound: np.ndarray
-    starts: np.ndarray
-    example: np.ndarray
-    weight: np.ndarray
-
-    @classmethod
-    def build(cls, rows: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray) -> Index:
-        rows = sorted(rows)
-        n_blocks = max(1, -(-len(rows) // BLOCK))
-        postings: list[list[tuple[int, float]]] = [[] for _ in idf]
-        bound = np.zeros((len(idf), n_blocks))
-        for e, (_, _, features, counts) in enumerate(rows):
-            for f, w in zip(features, unit(np.array(counts), idf[features]) if features else (), strict=True):
-                postings[f].append((e, float(w)))
-                bound[f, e // BLOCK] = max(bound[f, e // BLOCK], w)
-        flat = [x for p in postings for x in p]
-        example = np.array([x[0] for x in flat], dtype=np.int64)
-        owner = np.repeat(np.arange(len(idf)), [len(p) for p in postings])
-        starts = np.searchsorted(owner * n_blocks + example // BLOCK, np.arange(len(idf) * n_blocks + 1))
-        return cls(idf, np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64), bound, starts, example, np.array([x[1] for x in flat]))
-
-    def nearest(self, features: list[int], counts: list[int], k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
-        """The ``k`` examples with the greatest cosine above 0, ties by place, leaving out the example at ``but``."""
-        if not features:
-            return []
-        q = unit(np.array(counts), self.idf[features])
-        bounds = q @ self.bound[features]
-        n_blocks = self.bound.shape[1]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < -best[-1][0] - 1e-12:
-                break
-            total = np.zeros(BLOCK)
-            for f, w in zip(features, q, strict=True):
-                at = f * n_blocks + block
-                a, b = self.starts[at], self.starts[at + 1]
-                if a < b:
-                    total[self.example[a:b] - block * BLOCK] += w * self.weight[a:b]
-            best += [(-round(float(total[e]), 12), int(e + block * BLOCK)) for e in np.flatnonzero(total > 0) if e + block * BLOCK != but]
-            best = sorted(best)[:k]
-        return [(-s, e) for s, e in best]
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        return sum(s * self.toxic[e] for s, e in near) / (sum(s for s, _ in near) + DOUBT)
-
-
-def unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF weights (1 + ln tf) * idf at length 1."""
-    w = (1 + np.log(counts)) * idf
-    return w / np.sqrt(w @ w)
+    ends: np.ndarray
+    cells: np.ndarray
+    counts: np.ndarray
+    idf: np.ndarray
+    common: int = COMMON
+    block: int = BLOCK
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, float]:
-    """Slope and intercept by Newton's steps with a slight ridge; the intercept is moved to the rate of label 1."""
+class Index:
+    """Examples by feature. The lists of rare features are looked at whole: the examples of one are at ``starts[feature]``
+    up to the next start in ``example`` and ``weight``. The lists of the most frequent ones are kept by blocks
+    of examples, in ``dense``, and ``bound`` has the greatest weight by feature and block."""
+
+    def __init__(self, sample: Sample):
+        n, self.block = len(sample.ids), sample.block
+        self.idf = sample.idf
+        owner = np.repeat(np.arange(n), np.diff(sample.ends))
+        own = np.concatenate([np.zeros(0), *(weights(sample.counts[a:b], sample.idf[sample.cells[a:b]]) for a, b in zip(sample.ends[:-1], sample.ends[1:], strict=True) if a < b)])
+        self.cells, feature = np.unique(sample.cells, return_inverse=True)
+        order = self._gathered(n, owner, feature, own, self.block)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.n, self.blocks = n, max(1, -(-n // self.block))
+        self.ids, self.toxic = sample.ids[order], sample.toxic[order].astype(float)
+        times = np.bincount(feature, minlength=len(self.cells))
+        common = np.sort(np.argsort(-times, kind="stable")[: sample.common])
+        self.row = np.full(len(self.cells), -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        frequent = self.row[feature] >= 0
+        self.dense = np.zeros((len(common), self.blocks * self.block))
+        self.dense[self.row[feature[frequent]], place[owner[frequent]]] = own[frequent]
+        self.bound = self.dense.reshape(len(common), self.blocks, self.block).max(axis=2)
+        feature, owner, own = feature[~frequent], owner[~frequent], own[~frequent]
+        by = np.lexsort((place[owner], feature))
+        self.example, self.weight = place[owner][by], own[by]
+        self.starts = np.searchsorted(feature[by], np.arange(len(self.cells) + 1))
+
+    @staticmethod
+    def _gathered(n: int, owner: np.ndarray, feature: np.ndarray, own: np.ndarray, block: int) -> np.ndarray:
+        """An order of the examples in which a block has the ones that are nearest to its first."""
+        left, out = np.ones(n, bool), []
+        while left.any():
+            lead = int(np.flatnonzero(left)[0])
+            q = np.zeros(int(feature.max()) + 1 if len(feature) else 1)
+            q[feature[owner == lead]] = own[owner == lead]
+            near = np.bincount(owner, own * q[feature], minlength=n)
+            near[~left], near[lead] = -1, 2
+            taken = np.argsort(-near, kind="stable")[: min(block, int(left.sum()))]
+            out.append(taken)
+            left[taken] = False
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the ``k`` examples with the greatest cosines above 0 and these cosines, ties by place; not the
+        one with the id in ``but``."""
+        total, common = np.zeros((len(vectors), self.blocks * self.block)), np.zeros((len(vectors), len(self.dense)))
+        for t, (cells, counts) in enumerate(vectors):
+            if not len(cells) or not len(self.cells):
+                continue
+            at = np.minimum(np.searchsorted(self.cells, cells), len(self.cells) - 1)
+            shared = self.cells[at] == cells
+            at, q = at[shared], weights(counts, self.idf[cells])[shared]
+            frequent = self.row[at] >= 0
+            common[t, self.row[at[frequent]]] = q[frequent]
+            at, q = at[~frequent], q[~frequent]
+            lengths = self.starts[at + 1] - self.starts[at]
+            places = _flat(self.starts[at], lengths)
+            total[t] = np.bincount(self.example[places], self.weight[places] * np.repeat(q, lengths), minlength=total.shape[1])
+        bounds = total.reshape(len(vectors), self.blocks, self.block).max(axis=2) + common @ self.bound
+        n_first = min(self.blocks, 1 + -(-k // self.block))
+        seen = np.zeros(bounds.shape, bool)
+        np.put_along_axis(seen, np.argsort(-bounds, axis=1, kind="stable")[:, :n_first], True, axis=1)
+        self._add(total, common, seen)
+        out_of = lambda done: np.where(np.repeat(done, self.block, axis=1), total, 0.0)
+        if but is not None:
+            others = np.append(self.ids, np.zeros(total.shape[1] - self.n, np.int64))[None, :] != np.array(but)[:, None]
+        found = out_of(seen) if but is None else out_of(seen) * others
+        least = np.partition(found, -k, axis=1)[:, -k] if found.shape[1] > k else np.zeros(len(found))
+        more = ~seen & (bounds >= least[:, None] - 1e-9)
+        self._add(total, common, more)
+        found = np.round(out_of(seen | more) if but is None else out_of(seen | more) * others, 12)
+        return [self._top(x, k) for x in found]
+
+    def _add(self, total: np.ndarray, common: np.ndarray, wanted: np.ndarray) -> None:
+        """Add the common features' part, where block and text are ``wanted``."""
+        for block in range(self.blocks):
+            rows = np.flatnonzero(wanted[:, block])
+            if len(rows):
+                columns = slice(block * self.block, (block + 1) * self.block)
+                total[rows, columns] += common[rows] @ self.dense[:, columns]
+
+    @staticmethod
+    def _top(cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.partition(cosines, -k)[-k] if len(cosines) > k else 0.0
+        over = np.flatnonzero(cosines > edge)
+        top = np.concatenate([over, np.flatnonzero(cosines == edge)[: k - len(over)]]) if edge > 0 else over
+        top = top[np.lexsort((top, -cosines[top]))]
+        return top, cosines[top]
+
+    def votes(self, near: tuple[np.ndarray, np.ndarray], numbers: tuple[int, ...]) -> list[float | None]:
+        """The share of label 1 among the first neighbours, by their cosines, for each of the ``numbers`` of neighbours."""
+        top, cosine = near
+        return [float(cosine[:k] @ self.toxic[top[:k]] / cosine[:k].sum()) if len(top) else None for k in numbers]
+
+
+_built: dict[str, Index] = {}
+
+
+def _index(key: str, sent) -> Index:
+    """This worker's index; made once."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Index(sent.value)
+    return _built[key]
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept by Newton's steps with a slight ridge."""
     a, b = 1.0, 0.0
     for _ in range(50):
-        p = 1 / (1 + np.exp(-(a * x + b)))
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
         w = p * (1 - p)
         g = np.array([x @ (y - p) - 0.01 * a, np.sum(y - p)])
         h = np.array([[x @ (w * x) + 0.01, w @ x], [w @ x, np.sum(w) + 1e-9]])
@@ -199,50 +290,100 @@ def logistic(x: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, float]:
         a, b = a + step[0], b + step[1]
         if np.abs(step).max() < 1e-9:
             break
+    return float(a), float(b)
+
+
+def curve(votes: np.ndarray, y: np.ndarray, rate: float) -> tuple[int, float, float]:
+    """Which number of neighbours has the least log loss over the examples' votes, and its logistic curve at the ``rate``."""
+    best = None
+    for k in range(votes.shape[1]):
+        a, b = logistic(votes[:, k], y)
+        p = np.clip(1 / (1 + np.exp(-np.clip(a * votes[:, k] + b, -30, 30))), 1e-9, 1 - 1e-9)
+        loss = -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+        if best is None or loss < best[0] - 1e-12:
+            best = loss, k, a, b
     share = y.mean()
-    return float(a), float(b + math.log(rate / (1 - rate)) - math.log(share / (1 - share)))
+    return best[1], best[2], best[3] + math.log(rate / (1 - rate)) - math.log(share / (1 - share))
+
+
+def collect_sample(sample: DataFrame, idf: np.ndarray) -> Sample:
+    """The vectors of the examples, in the order of their ids; 2 * EXAMPLES rows at most."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        made = Features()
+        for b in batches:
+            found = [made.count(x) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())], ["doc_id", "toxic", "cells", "counts"])
 
+    rows = sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, cells binary, counts binary").toArrow().sort_by("doc_id")
+    cells, counts = ([np.frombuffer(x, np.int32) for x in rows.column(c).to_pylist()] for c in ("cells", "counts"))
+    ends = np.cumsum([0, *map(len, cells)])
+    joined = lambda x: np.concatenate([np.zeros(0, np.int32), *x])
+    return Sample(rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy(), ends, joined(cells), joined(counts), idf)
 
-def score(docs: DataFrame, labels: DataFrame, evidence: bool = False) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row; with ``evidence`` the ids of the neighbours."""
+
+def score(docs: DataFrame, labels: DataFrame, numbers: tuple[int, ...] = NEIGHBOURS, common: int = COMMON, block: int = BLOCK) -> DataFrame:
+    """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row, with the ``evidence``, the ids of the nearest
+    examples, and their ``cosines``. ``common`` and ``block`` shape the index and don't change results."""
+    spark = docs.sparkSession
     docs = documents(docs)
-    sample = materialize(examples(docs, labels), "toxic-examples")
-    vocabulary = choose(sample)
-    rows = materialize(vectors(docs, vocabulary, "doc_id"), "toxic-vectors")
-    n = rows.count()
-    frequency = np.zeros(len(vocabulary))
-    for r in rows.select(F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect():  # FEATURES rows at most
-        frequency[r["f"]] = r["n"]
-    known = [tuple(r) for r in vectors(sample, vocabulary, "doc_id", "toxic").collect()]  # 2 * EXAMPLES rows at most
-    index = Index.build(known, np.log((1 + n) / (1 + frequency)) + 1)
-    counted = labels.where("toxic in (0, 1)").where(~held_out(F.col("doc_id"))).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
-    rate = min(0.999, max(0.001, (counted["toxic"] or 0) / counted["n"])) if counted["n"] else 0.0
-    fixed = rate if not vocabulary else None
-    slope = shift = 0.0
-    if fixed is None:
-        votes = np.array([index.vote(index.nearest(f, c, but=e)) for e, (_, _, f, c) in enumerate(sorted(known))])
-        slope, shift = logistic(votes, index.toxic.astype(float), rate)
+    known = materialize(learnt(labels), "toxic-labels")
+    sample = materialize(examples(docs, known), "toxic-examples")
+    counted = known.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
+    sizes = {r["toxic"] for r in sample.select("toxic").distinct().collect()}
+    rate = counted["toxic"] / counted["n"] if counted["n"] else 0.0
+    small_batches(spark)
+    if sizes != {0, 1}:
+        return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(rate).alias("score"), F.lit(int(rate >= 0.5)).alias("predicted"), F.array().cast("array<long>").alias("evidence"), F.array().cast("array<double>").alias("cosines"))
+    frequency, n = frequencies(docs)
+    made = replace(collect_sample(sample, (np.log((1 + n) / (1 + frequency)) + 1).astype(np.float32)), common=common, block=block)
+    sent, key = spark.sparkContext.broadcast(made), uuid.uuid4().hex  # its size depends on the sample alone
+
+    def own_votes(batches):
+        import pyarrow as pa
+
+        index, features = _index(key, sent), Features()
+        for b in batches:
+            ids, vectors = b.column(0).to_pylist(), [features.count(x) for x in b.column(2).to_pylist()]
+            found = [index.votes(x, numbers) for k in range(0, len(ids), TEXTS) for x in index.nearest(vectors[k : k + TEXTS], max(numbers), ids[k : k + TEXTS])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "toxic", "votes"])
+
+    dealt = sample.select("doc_id", "toxic", "text").repartition(16, "doc_id")
+    voted = dealt.mapInArrow(own_votes, "doc_id long, toxic int, votes array<double>").where("votes[0] is not null").toArrow().sort_by("doc_id")
+    votes, y = np.array(voted.column("votes").to_pylist()).reshape(-1, len(numbers)), voted.column("toxic").to_numpy().astype(float)
+    chosen, slope, shift = curve(votes, y, rate) if 0 < y.sum() < len(y) else (0, 0.0, math.log(rate / (1 - rate)))
 
     def run(batches):
+        import hashlib
+
         import pyarrow as pa
 
-        seen: dict[tuple, tuple[float, list[int]]] = {}
+        index, features = _index(key, sent), Features()
+        seen: dict[bytes, tuple[float, list[int], list[float]]] = {}
+
+        def told(near):
+            vote = index.votes(near, numbers)[chosen]
+            p = rate if vote is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * vote + shift))))
+            return p, index.ids[near[0][:EVIDENCE]].tolist(), near[1][:EVIDENCE].tolist()
+
         for b in batches:
-            scores, near_ids = [], []
-            for features, counts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                key = (tuple(features), tuple(counts))
-                if key not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    near = index.nearest(features, counts) if fixed is None else []
-                    p = fixed if fixed is not None else 1 / (1 + math.exp(-(slope * index.vote(near) + shift)))
-                    seen[key] = p, [int(index.ids[e]) for _, e in near]
-                p, ids = seen[key]
-                scores.append(p)
-                near_ids.append(ids)
-            columns = [b.column(0), pa.array(scores, pa.float64()), pa.array([int(p >= 0.5) for p in scores], pa.int32()), pa.array(near_ids, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "evidence"])
-
-    scored = rows.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>")
-    shown = ["doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"] + ["evidence"] * evidence
-    return scored.select(*shown)
+            names, new = [], {}
+            if len(seen) >= KNOWN_TEXTS:
+                seen.clear()
+            for text in b.column(1).to_pylist():
+                cells, counts = features.count(text)
+                names.append(hashlib.blake2b(cells.tobytes() + counts.tobytes(), digest_size=16).digest())
+                if names[-1] not in seen:
+                    new[names[-1]] = cells, counts
+            listed = list(new)
+            for k in range(0, len(listed), TEXTS):
+                some = listed[k : k + TEXTS]
+                seen.update(zip(some, map(told, index.nearest([new[x] for x in some], numbers[chosen])), strict=True))
+            out = [seen[x] for x in names]
+            columns = [b.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([int(x[0] >= 0.5) for x in out], pa.int32()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "evidence", "cosines"])
+
+    scored = docs.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>, cosines array<double>")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence", "cosines")

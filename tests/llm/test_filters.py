@@ -220,24 +220,55 @@ def test_held_brute():
         assert secrets.held(runs, spans) == [places >= set(range(s, e)) for s, e in runs]
 
 
-def test_nearest_is_exact():
-    rng = np.random.default_rng(7)
-    rows = [(int(k), int(rng.integers(2)), f := sorted(rng.choice(50, rng.integers(0, 9), replace=False).tolist()), [int(c) for c in rng.integers(1, 4, len(f))]) for k in range(300)]
-    idf = rng.uniform(0.5, 4, 50)
-    index = toxicity.Index.build(rows, idf)
-    dense = np.zeros((300, 50))
-    for k, (_, _, f, c) in enumerate(sorted(rows)):
-        if f:
-            dense[k, f] = toxicity.unit(np.array(c), idf[f])
-    for _ in range(100):
-        f = sorted(rng.choice(50, rng.integers(1, 9), replace=False).tolist())
-        c = rng.integers(1, 4, len(f)).tolist()
-        q = np.zeros(50)
-        q[f] = toxicity.unit(np.array(c), idf[f])
-        all_ = sorted((-round(float(s), 12), k) for k, s in enumerate(dense @ q) if s > 1e-12)[: toxicity.NEIGHBOURS]
-        got = index.nearest(f, c)
-        assert [round(s, 9) for s, _ in got] == [round(-s, 9) for s, _ in all_]
-    assert index.nearest([], []) == []
+def vector(text, frequency, n):
+    """Features and weights of a text as a dictionary, from their definition."""
+    counts = Counter()
+    for w in re.findall(r"\w+", text.lower()):
+        for f in [f" {w} ", *(f" {w[:k]}" for k in (4, 5, 6) if len(w) > k)]:
+            counts[xxhash.xxh3_64_intdigest(f.encode()) % toxicity.CELLS] += 1
+    made = {c: (1 + math.log(x)) * float(np.float32(math.log((1 + n) / (1 + frequency[c])) + 1)) for c, x in counts.items()}
+    length = math.sqrt(sum(x * x for x in made.values()))
+    return {c: x / length for c, x in made.items()}
+
+
+def cosine(a, b):
+    return sum(x * b[c] for c, x in a.items() if c in b)
+
+
+NUMBERS = (2, 5, 15)
+
+
+def votes_of(near):
+    return [sum(c * y for c, _, y in near[:k]) / sum(c for c, _, _ in near[:k]) for k in NUMBERS]
+
+
+@pytest.mark.parametrize("common", [3, 40, 100_000])
+def test_toxicity_brute(spark, common):
+    """Evidence, cosines, the choice of k and scores against all cosines of all texts."""
+    rng = random.Random(common)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi") for b in ("ra", "se", "tu") for c in ("", "n", "na", "nori")]
+    bad = ["vile", "vilest", "brute"]
+    texts = [" ".join(rng.choices(words[(k % 2) * 12 :], k=rng.randint(1, 40)) + rng.choices(bad, k=rng.randint(1, 3) * (k % 5 == 0))) for k in range(150)] + ["", None, "unknown", "Kara " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(120)], "doc_id long, toxic int")
+    known = [k for k in range(120) if zlib.crc32(str(k).encode()) % 5]
+    sets = [set() if not t else {xxhash.xxh3_64_intdigest(f.encode()) % toxicity.CELLS for w in re.findall(r"\w+", t.lower()) for f in [f" {w} ", *(f" {w[:k]}" for k in (4, 5, 6) if len(w) > k)]} for t in texts]
+    frequency = Counter(c for s in sets for c in s)
+    made = [vector(t, frequency, len(texts)) if t else {} for t in texts]
+    near = lambda d, but: sorted(((c, e, int(e % 5 == 0)) for e in known if e != but and (c := cosine(made[d], made[e])) > 1e-9), key=lambda x: -x[0])
+    y = np.array([float(d % 5 == 0) for d in known])
+    chosen, slope, shift = toxicity.curve(np.array([votes_of(near(d, d)) for d in known]), y, y.mean())
+    got = {r.doc_id: r for r in toxicity.score(docs, labels, NUMBERS, common, 8).collect()}
+    assert set(got) == set(range(len(texts)))
+    for d, r in got.items():
+        best = near(d, None)
+        assert r.cosines == pytest.approx([c for c, _, _ in best[: toxicity.EVIDENCE]], abs=1e-6)
+        assert all(cosine(made[d], made[e]) == pytest.approx(c, abs=1e-6) for e, c in zip(r.evidence, r.cosines, strict=True))
+        edge = best[NUMBERS[chosen] - 1 : NUMBERS[chosen] + 1]
+        if not best:
+            assert r.score == pytest.approx(y.mean())
+        elif len(edge) < 2 or edge[0][0] - edge[1][0] > 1e-9:  # no tie decides who votes
+            assert r.score == pytest.approx(1 / (1 + math.exp(-(slope * votes_of(best)[chosen] + shift))), abs=1e-5)
 
 
 def test_toxicity_held_out(spark):
@@ -253,9 +284,9 @@ def test_toxicity_learns_only_from_the_rest(spark):
     docs = spark.createDataFrame([(k, ("vile brute " if k % 2 else "kind friend ") + f"w{k} " * 3) for k in range(60)] + [(99, None), (100, ""), (3, "vile"), (101, "z" * 200_000)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(3, 1), (None, 1), (5, None)], "doc_id long, toxic int")
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    one, two = ({(r.doc_id, r.score) for r in toxicity.score(docs, x).collect()} for x in (labels, turned))
+    one, two = ({(r.doc_id, round(r.score, 9)) for r in toxicity.score(docs, x).collect()} for x in (labels, turned))
     assert one == two and len(docs.collect()) == toxicity.score(docs, labels).count()
-    told = {r.doc_id: r for r in toxicity.score(docs, labels, evidence=True).collect()}
+    told = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
     assert told[1].predicted == 1 and told[0].predicted == 0 and told[1].evidence and told[99].score == told[100].score
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
