@@ -25,6 +25,7 @@ import re
 import uuid
 from collections import Counter
 from dataclasses import dataclass, replace
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,7 @@ EXAMPLES = 2048
 #: Cells of the hashed features; the table of frequencies that workers get has as many numbers.
 CELLS = 1 << 20
 #: Lengths of the beginnings of a word that are features beside the word.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
 FOLDS = 5
 #: Numbers of neighbours to choose from, and examples of a block.
 NEIGHBOURS, BLOCK = (15, 50, 100, 200), 128
@@ -55,9 +56,10 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == 0
 
 
-def word_features(word: str) -> list[str]:
-    """The word with its ends marked, and its beginnings."""
-    return [f" {word} ", *(f" {word[:k]}" for k in PREFIXES if len(word) > k)]
+def word_cells(word: str) -> list[int]:
+    """The cells of the word, with its ends marked, and of its beginnings; -1 where it is no longer than one."""
+    n = len(word)
+    return [crc32(f" {word} ".encode()) % CELLS, *(crc32(f" {word[:k]}".encode()) % CELLS if n > k else -1 for k in PREFIXES)]
 
 
 class Features:
@@ -68,25 +70,21 @@ class Features:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.full((1024, 1 + len(PREFIXES)), -1, np.int32)
-
-    def _add(self, word: str) -> int:
-        import xxhash
-
-        k = self.known[word] = len(self.known)
-        if k == len(self.table):
-            self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
-        for c, f in enumerate(word_features(word)):
-            self.table[k, c] = xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) % CELLS
-        return k
+        self.table = np.empty((1024, 1 + len(PREFIXES)), np.int32)
 
     def cells(self, words: list[str]) -> np.ndarray:
-        """One row for each word, -1 where it has no more features."""
+        """One row for each of the different ``words``, -1 where it has no more features."""
         if len(self.known) >= KNOWN_WORDS:
             self._clear()
-        known = self.known.get
-        rows = [k if (k := known(w)) is not None else self._add(w) for w in words]
-        return self.table[np.array(rows, np.int64)]  # after the words, as these may make it grow
+        known = self.known
+        new = [w for w in words if w not in known]
+        if new:
+            first = len(known)
+            known.update(zip(new, range(first, first + len(new)), strict=True))
+            if len(known) > len(self.table):
+                self.table = np.concatenate([self.table, np.empty((max(len(self.table), len(new)), 1 + len(PREFIXES)), np.int32)])
+            self.table[first : len(known)] = [word_cells(w) for w in new]
+        return self.table[[known[w] for w in words]] if words else self.table[:0]
 
     def all(self, text: str) -> np.ndarray:
         """The cells of all features, some more than once."""
@@ -151,11 +149,6 @@ def weights(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / math.sqrt(w @ w)
 
 
-def _flat(lo: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The places of runs that begin at ``lo``, one after the other."""
-    return np.arange(lengths.sum()) + np.repeat(lo - (np.cumsum(lengths) - lengths), lengths)
-
-
 @dataclass
 class Sample:
     """The labelled examples as they are sent to workers: example ``k`` has the cells from ``ends[k]`` to ``ends[k + 1]``."""
@@ -180,24 +173,28 @@ class Index:
         self.idf = sample.idf
         owner = np.repeat(np.arange(n), np.diff(sample.ends))
         own = np.concatenate([np.zeros(0), *(weights(sample.counts[a:b], sample.idf[sample.cells[a:b]]) for a, b in zip(sample.ends[:-1], sample.ends[1:], strict=True) if a < b)])
-        self.cells, feature = np.unique(sample.cells, return_inverse=True)
+        cells, feature = np.unique(sample.cells, return_inverse=True)
         order = self._gathered(n, owner, feature, own, self.block)
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         self.n, self.blocks = n, max(1, -(-n // self.block))
         self.ids, self.toxic = sample.ids[order], sample.toxic[order].astype(float)
-        times = np.bincount(feature, minlength=len(self.cells))
-        common = np.sort(np.argsort(-times, kind="stable")[: sample.common])
-        self.row = np.full(len(self.cells), -1, np.int64)
-        self.row[common] = np.arange(len(common))
-        frequent = self.row[feature] >= 0
+        times = np.bincount(feature, minlength=len(cells))
+        common = np.argsort(-times, kind="stable")[: sample.common]
+        number = np.empty(len(cells), np.int64)  # the common features come first
+        number[common] = np.arange(len(common))
+        number[np.setdiff1d(np.arange(len(cells)), common)] = np.arange(len(common), len(cells))
+        self.number = np.full(CELLS, -1, np.int32)
+        self.number[cells] = number
+        feature = number[feature]
+        frequent = feature < len(common)
         self.dense = np.zeros((len(common), self.blocks * self.block))
-        self.dense[self.row[feature[frequent]], place[owner[frequent]]] = own[frequent]
+        self.dense[feature[frequent], place[owner[frequent]]] = own[frequent]
         self.bound = self.dense.reshape(len(common), self.blocks, self.block).max(axis=2)
         feature, owner, own = feature[~frequent], owner[~frequent], own[~frequent]
         by = np.lexsort((place[owner], feature))
         self.example, self.weight = place[owner][by], own[by]
-        self.starts = np.searchsorted(feature[by], np.arange(len(self.cells) + 1))
+        self.starts = np.searchsorted(feature[by], np.arange(len(cells) + 1))
 
     @staticmethod
     def _gathered(n: int, owner: np.ndarray, feature: np.ndarray, own: np.ndarray, block: int) -> np.ndarray:
@@ -219,31 +216,35 @@ class Index:
         one with the id in ``but``."""
         total, common = np.zeros((len(vectors), self.blocks * self.block)), np.zeros((len(vectors), len(self.dense)))
         for t, (cells, counts) in enumerate(vectors):
-            if not len(cells) or not len(self.cells):
+            if not len(cells):
                 continue
-            at = np.minimum(np.searchsorted(self.cells, cells), len(self.cells) - 1)
-            shared = self.cells[at] == cells
-            at, q = at[shared], weights(counts, self.idf[cells])[shared]
-            frequent = self.row[at] >= 0
-            common[t, self.row[at[frequent]]] = q[frequent]
-            at, q = at[~frequent], q[~frequent]
-            lengths = self.starts[at + 1] - self.starts[at]
-            places = _flat(self.starts[at], lengths)
+            at = self.number[cells]
+            q = weights(counts, self.idf[cells])
+            frequent = (at >= 0) & (at < len(self.dense))
+            common[t, at[frequent]] = q[frequent]
+            rare = at >= len(self.dense)
+            at, q = at[rare], q[rare]
+            lo = self.starts[at]
+            lengths = self.starts[at + 1] - lo
+            places = np.arange(lengths.sum()) + np.repeat(lo - (np.cumsum(lengths) - lengths), lengths)
             total[t] = np.bincount(self.example[places], self.weight[places] * np.repeat(q, lengths), minlength=total.shape[1])
+        if but is not None:  # it leaves the index
+            own = np.append(self.ids, np.full(total.shape[1] - self.n, -1))[None, :] == np.array(but)[:, None]
         bounds = total.reshape(len(vectors), self.blocks, self.block).max(axis=2) + common @ self.bound
         n_first = min(self.blocks, 1 + -(-k // self.block))
         seen = np.zeros(bounds.shape, bool)
         np.put_along_axis(seen, np.argsort(-bounds, axis=1, kind="stable")[:, :n_first], True, axis=1)
         self._add(total, common, seen)
-        out_of = lambda done: np.where(np.repeat(done, self.block, axis=1), total, 0.0)
         if but is not None:
-            others = np.append(self.ids, np.zeros(total.shape[1] - self.n, np.int64))[None, :] != np.array(but)[:, None]
-        found = out_of(seen) if but is None else out_of(seen) * others
+            total[own & np.repeat(seen, self.block, axis=1)] = 0
+        found = total.reshape(*bounds.shape, self.block)[seen].reshape(len(vectors), -1)
         least = np.partition(found, -k, axis=1)[:, -k] if found.shape[1] > k else np.zeros(len(found))
         more = ~seen & (bounds >= least[:, None] - 1e-9)
         self._add(total, common, more)
-        found = np.round(out_of(seen | more) if but is None else out_of(seen | more) * others, 12)
-        return [self._top(x, k) for x in found]
+        if but is not None:
+            total[own] = 0
+        total[np.repeat(~(seen | more), self.block, axis=1)] = 0
+        return [self._top(x, k) for x in np.round(total, 12)]
 
     def _add(self, total: np.ndarray, common: np.ndarray, wanted: np.ndarray) -> None:
         """Add the common features' part, where block and text are ``wanted``."""
