@@ -8,8 +8,8 @@ its rare features' lists, bounds each block by that and the greatest weights, an
 of the others only those whose bound reaches its k-th best cosine are looked at, so the k nearest are exact. Similar
 examples share blocks, which keeps the bounds of blocks in other languages low.
 
-Neighbours vote by their cosine. The examples' own votes, each without itself, choose k (the least log loss) and fit a
-logistic curve that turns a vote into a probability at the rate of the labels. Labels are learnt only from rows whose
+Neighbours vote by their cosine, the first 15, 50, 100 and 200 apart. The examples' own votes, each without itself, fit
+a logistic curve that turns the votes into a probability at the rate of the labels. Labels are learnt only from rows whose
 hash of the id isn't held out; nothing else is chosen by labels, and nothing but the text makes a score.
 
 Results for odd input: a null or empty text, or one that shares no feature with any example, has no neighbours and the
@@ -40,7 +40,7 @@ CELLS = 1 << 20
 #: Lengths of the beginnings of a word that are features beside the word.
 PREFIXES = (4, 5, 6, 7)
 FOLDS = 5
-#: Numbers of neighbours to choose from, and examples of a block.
+#: Numbers of neighbours whose votes are taken, and examples of a block.
 NEIGHBOURS, BLOCK = (15, 50, 100, 200), 128
 #: Neighbours that a result names.
 EVIDENCE = 5
@@ -262,10 +262,10 @@ class Index:
         top = top[np.lexsort((top, -cosines[top]))]
         return top, cosines[top]
 
-    def votes(self, near: tuple[np.ndarray, np.ndarray], numbers: tuple[int, ...]) -> list[float | None]:
+    def votes(self, near: tuple[np.ndarray, np.ndarray], numbers: tuple[int, ...]) -> list[float] | None:
         """The share of label 1 among the first neighbours, by their cosines, for each of the ``numbers`` of neighbours."""
         top, cosine = near
-        return [float(cosine[:k] @ self.toxic[top[:k]] / cosine[:k].sum()) if len(top) else None for k in numbers]
+        return [float(cosine[:k] @ self.toxic[top[:k]] / cosine[:k].sum()) for k in numbers] if len(top) else None
 
 
 _built: dict[str, Index] = {}
@@ -279,32 +279,39 @@ def _index(key: str, sent) -> Index:
     return _built[key]
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's steps with a slight ridge."""
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p)
-        g = np.array([x @ (y - p) - 0.01 * a, np.sum(y - p)])
-        h = np.array([[x @ (w * x) + 0.01, w @ x], [w @ x, np.sum(w) + 1e-9]])
-        step = np.linalg.solve(h, g)
-        a, b = a + step[0], b + step[1]
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(a), float(b)
-
-
-def curve(votes: np.ndarray, y: np.ndarray, rate: float) -> tuple[int, float, float]:
-    """Which number of neighbours has the least log loss over the examples' votes, and its logistic curve at the ``rate``."""
-    best = None
-    for k in range(votes.shape[1]):
-        a, b = logistic(votes[:, k], y)
-        p = np.clip(1 / (1 + np.exp(-np.clip(a * votes[:, k] + b, -30, 30))), 1e-9, 1 - 1e-9)
-        loss = -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
-        if best is None or loss < best[0] - 1e-12:
-            best = loss, k, a, b
-    share = y.mean()
-    return best[1], best[2], best[3] + math.log(rate / (1 - rate)) - math.log(share / (1 - share))
+@dataclass
+class Curve:
+    """A logistic curve over the log odds of the votes of several numbers of neighbours."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+    slopes: np.ndarray
+    shift: float
+
+    @staticmethod
+    def odds(votes: np.ndarray) -> np.ndarray:
+        return np.log((votes + 0.01) / (1.01 - votes))
+
+    @classmethod
+    def fit(cls, votes: np.ndarray, y: np.ndarray, rate: float) -> Curve:
+        """By Newton's steps with a slight ridge; the shift is then moved to the ``rate`` of label 1."""
+        x = cls.odds(votes)
+        mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+        x = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+        ridge = 0.01 * np.diag([1.0] * votes.shape[1] + [1e-6])
+        w = np.zeros(x.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge, x.T @ (y - p) - ridge @ w)
+            w += step
+            if np.abs(step).max() < 1e-9:
+                break
+        share = y.mean()
+        return cls(mean, scale, w[:-1], float(w[-1] + math.log(rate / (1 - rate)) - math.log(share / (1 - share))))
+
+    def score(self, votes: list[float]) -> float:
+        z = float((self.odds(np.array(votes)) - self.mean) / self.scale @ self.slopes) + self.shift
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def collect_sample(sample: DataFrame, idf: np.ndarray) -> Sample:
@@ -352,9 +359,9 @@ def score(docs: DataFrame, labels: DataFrame, numbers: tuple[int, ...] = NEIGHBO
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "toxic", "votes"])
 
     dealt = sample.select("doc_id", "toxic", "text").repartition(16, "doc_id")
-    voted = dealt.mapInArrow(own_votes, "doc_id long, toxic int, votes array<double>").where("votes[0] is not null").toArrow().sort_by("doc_id")
+    voted = dealt.mapInArrow(own_votes, "doc_id long, toxic int, votes array<double>").where("votes is not null").toArrow().sort_by("doc_id")
     votes, y = np.array(voted.column("votes").to_pylist()).reshape(-1, len(numbers)), voted.column("toxic").to_numpy().astype(float)
-    chosen, slope, shift = curve(votes, y, rate) if 0 < y.sum() < len(y) else (0, 0.0, math.log(rate / (1 - rate)))
+    curve = Curve.fit(votes, y, rate) if 0 < y.sum() < len(y) else None
 
     def run(batches):
         import hashlib
@@ -365,8 +372,8 @@ def score(docs: DataFrame, labels: DataFrame, numbers: tuple[int, ...] = NEIGHBO
         seen: dict[bytes, tuple[float, list[int], list[float]]] = {}
 
         def told(near):
-            vote = index.votes(near, numbers)[chosen]
-            p = rate if vote is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * vote + shift))))
+            votes = index.votes(near, numbers)
+            p = rate if votes is None or curve is None else curve.score(votes)
             return p, index.ids[near[0][:EVIDENCE]].tolist(), near[1][:EVIDENCE].tolist()
 
         for b in batches:
@@ -381,7 +388,7 @@ def score(docs: DataFrame, labels: DataFrame, numbers: tuple[int, ...] = NEIGHBO
             listed = list(new)
             for k in range(0, len(listed), TEXTS):
                 some = listed[k : k + TEXTS]
-                seen.update(zip(some, map(told, index.nearest([new[x] for x in some], numbers[chosen])), strict=True))
+                seen.update(zip(some, map(told, index.nearest([new[x] for x in some], max(numbers))), strict=True))
             out = [seen[x] for x in names]
             columns = [b.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([int(x[0] >= 0.5) for x in out], pa.int32()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "evidence", "cosines"])

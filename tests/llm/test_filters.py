@@ -244,7 +244,7 @@ def votes_of(near):
 
 @pytest.mark.parametrize("common", [3, 40, 100_000])
 def test_toxicity_brute(spark, common):
-    """Evidence, cosines, the choice of k and scores against all cosines of all texts."""
+    """Evidence, cosines and scores against all cosines of all texts."""
     rng = random.Random(common)
     words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi") for b in ("ra", "se", "tu") for c in ("", "n", "na", "nori")]
     bad = ["vile", "vilest", "brute"]
@@ -257,18 +257,18 @@ def test_toxicity_brute(spark, common):
     made = [vector(t, frequency, len(texts)) if t else {} for t in texts]
     near = lambda d, but: sorted(((c, e, int(e % 5 == 0)) for e in known if e != but and (c := cosine(made[d], made[e])) > 1e-9), key=lambda x: -x[0])
     y = np.array([float(d % 5 == 0) for d in known])
-    chosen, slope, shift = toxicity.curve(np.array([votes_of(near(d, d)) for d in known]), y, y.mean())
+    curve = toxicity.Curve.fit(np.array([votes_of(near(d, d)) for d in known]), y, y.mean())
     got = {r.doc_id: r for r in toxicity.score(docs, labels, NUMBERS, common, 8).collect()}
     assert set(got) == set(range(len(texts)))
     for d, r in got.items():
         best = near(d, None)
-        assert r.cosines == pytest.approx([c for c, _, _ in best[: min(toxicity.EVIDENCE, NUMBERS[chosen])]], abs=1e-6)
+        assert r.cosines == pytest.approx([c for c, _, _ in best[: toxicity.EVIDENCE]], abs=1e-6)
         assert all(cosine(made[d], made[e]) == pytest.approx(c, abs=1e-6) for e, c in zip(r.evidence, r.cosines, strict=True))
-        edge = best[NUMBERS[chosen] - 1 : NUMBERS[chosen] + 1]
+        edges = [best[k - 1 : k + 1] for k in NUMBERS]
         if not best:
             assert r.score == pytest.approx(y.mean())
-        elif len(edge) < 2 or edge[0][0] - edge[1][0] > 1e-9:  # no tie decides who votes
-            assert r.score == pytest.approx(1 / (1 + math.exp(-(slope * votes_of(best)[chosen] + shift))), abs=1e-5)
+        elif all(len(e) < 2 or e[0][0] - e[1][0] > 1e-9 for e in edges):  # no tie decides who votes
+            assert r.score == pytest.approx(curve.score(votes_of(best)), abs=1e-5)
 
 
 def test_toxicity_held_out(spark):
