@@ -109,6 +109,8 @@ def test_url_posteriors_brute(spark):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     assert set(got) == set(pages)
     counts = {level: defaultdict(lambda: [0, 0]) for level in ("host", "domain", "suffix", "all")}
+    bare = lambda h: re.sub(":[0-9]*$", "", re.sub("^.*@", "", h))
+    assert all(bare(r.host) == r.host for r in got.values())
     name = {"host": lambda h: h, "domain": lambda h: ".".join(h.split(".")[-2:]), "suffix": lambda h: h.split(".")[-1], "all": lambda h: ""}
     for r in got.values():
         for level, f in name.items():
@@ -134,8 +136,8 @@ def test_url_posteriors_brute(spark):
         a, b = counts["host"][r.host]
         p, q = b + k["host"] * above, a - b + k["host"] * (1 - above)
         bound = p / (p + q) + urls.WIDTH * math.sqrt(p * q / ((p + q) ** 2 * (p + q + 1)))
-        if r.rule is None and abs(bound - urls.THRESHOLD) > 1e-9:
-            assert r.verdict == ("block" if bound < urls.THRESHOLD else "allow")
+        if r.rule is None and abs(bound - mean) > 1e-9:
+            assert r.verdict == ("block" if bound < mean else "allow")
 
 
 def test_registered_domains(spark):
@@ -147,6 +149,15 @@ def test_registered_domains(spark):
     assert {r.host: (r.d, r.s) for r in got} == want
 
 
+def test_hosts_are_blocked_by_their_posterior_alone(spark):
+    """Hosts with nothing but bad outcomes lose the pages that no rule judges; their users and ports don't matter."""
+    urls_of = [f"https://bad{k % 3}.com/de/{k}" for k in range(60)] + [f"https://good{k % 3}.com/fr/{k}" for k in range(60)]
+    asked = ["https://bad0.com/", "https://me@bad1.com:99/x", "https://bad2.com", "https://good0.com/", "https://good1.com:8/x", "https://new.net/", "https://10.0.0.1/", None]
+    pages = spark.createDataFrame(list(enumerate(urls_of + asked)), "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    assert [(got[k].rule, got[k].verdict) for k in range(120, 128)] == [(None, "block")] * 3 + [(None, "allow")] * 5
+
+
 def test_url_main_path_has_no_python(spark):
     plan = urls.judge(spark.read.parquet(f"{SF}/pages.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -175,17 +186,61 @@ def test_base_secrets(spark):
     assert secrets.scan(docs.where("false")).count() == 0
 
 
+CAPITALS, SMALL, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+FORMATS = {
+    "access": lambda make: "AKIA" + make(CAPITALS[:10] + DIGITS, 16), "hex": lambda make: make(DIGITS + "abcdef", 40), "hub": lambda make: "ghp_" + make(CAPITALS + SMALL + DIGITS, 36), "capital hex": lambda make: make(DIGITS + "ABCDEF", 40),
+}
+
+
+def maker(seed):
+    rng = random.Random(seed)
+    return rng, lambda s, n: "".join(rng.choice(s) for _ in range(n))
+
+
+def prose(rng, n):
+    parts = ["the", "ing", "tion", "er", "an", "ou", "THE", "ION"]
+    return [w[:1].upper() * (k % 9 == 0) + w[k % 9 == 0 :] for k in range(n) if len(w := "".join(rng.choices(parts[6:] if k % 7 == 0 else parts[:6], k=rng.randint(5, 8)))) >= 12]
+
+
 def test_automata_tell_formats_apart():
-    rng = random.Random(6)
-    make = lambda s, n: "".join(rng.choice(s) for _ in range(n))
-    keys = ["AKIA" + make("ABCDEFGHIJ0123456789", 16) for _ in range(300)] + [make("0123456789abcdef", 40) for _ in range(300)]
-    plain = [make("abcdefghijklmnop", rng.randint(16, 30)) for _ in range(500)]
-    f = secrets.Formats(keys, plain)
-    assert all(f.score("AKIA" + make("ABCDEFGHIJ0123456789", 16)) > secrets.THRESHOLD for _ in range(50))
-    assert all(f.score(make("0123456789abcdef", 40)) > secrets.THRESHOLD for _ in range(50))
-    assert all(f.score(make("abcdefghijklmnop", 20)) < secrets.THRESHOLD for _ in range(50))
-    assert len([m for m in f.credential.moves if m]) < 1000  # states have been merged
-    assert secrets.Formats([], plain).score("a" * 20) == -math.inf
+    rng, make = maker(6)
+    keys = [f(make) for f in FORMATS.values() for _ in range(250)]
+    rng.shuffle(keys)
+    f = secrets.Formats(keys, prose(rng, 1000))
+    for new in FORMATS.values():
+        assert sum(f.found(new(make)) for _ in range(200)) >= 190
+    assert not any(map(f.found, prose(rng, 2000)))
+    for other in ("2024-01-01-12-00", "0123-4567-8910", "LAAITIONELLEELLE", "INTERNATIONALIZATION", "DonauDampfSchiffFahrt", "some_module_name_here", "------------------"):
+        assert not f.found(other)
+    assert secrets.Formats([], ["a" * 20]).score("a" * 20)[0] == -math.inf and not secrets.Formats([], ["a" * 20]).found("a" * 20)
+
+
+def test_states_of_known_formats():
+    """One state for each place of a format of one length and alphabet; one for a format of any length and its end."""
+    _, make = maker(7)
+    assert len(secrets.Automaton([make(DIGITS, 20) for _ in range(400)]).moves) == 21
+    rng, make = maker(8)
+    geometric = [make(DIGITS, 12 + min(60, int(rng.expovariate(0.2)))) for _ in range(800)]
+    assert 12 <= len(secrets.Automaton(geometric).moves) <= 30
+    two = secrets.Automaton([make(SMALL[:6], 16) for _ in range(400)] + [make(CAPITALS[:6], 24) for _ in range(400)])
+    assert 38 <= len(two.moves) <= 48
+    codes = lambda v: [secrets.CLASS_OF[c] for c in v]
+    assert [two.score(codes(v))[1] for v in ("a" * 16, "a" * 15, "A" * 24, "A" * 16)] == [0, 1, 0, 1]
+    assert sum(math.exp(two.log[0, k]) for k in range(secrets.END + 1)) == pytest.approx(1)
+
+
+def test_planted_formats_are_found_by_their_format_alone(spark):
+    rng, make = maker(11)
+    values = [f(make) for f in FORMATS.values() for _ in range(60)]
+    told = [f"{' '.join(prose(rng, 12))} api_key={v} {' '.join(prose(rng, 8))}" for v in values]
+    new = [(k, f(make)) for k in ("hub", "capital hex") for f in [FORMATS[k]] for _ in range(50)]
+    bare = [f"see {v} in {' '.join(prose(rng, 9))}" for _, v in new]
+    clean = [" ".join(prose(rng, 20)) for _ in range(100)]
+    got = {r.doc_id: r for r in secrets.scan(table(spark, list(enumerate(told + bare + clean)))).collect()}
+    at = [got[len(told) + k] for k in range(len(bare))]
+    assert sum(r.spans == f"format:4:{4 + len(v)}" and r.n_format == 1 for r, (_, v) in zip(at, new, strict=True)) >= 95
+    assert all(got[len(told) + len(bare) + k].spans == "" for k in range(len(clean)))
+    assert sum(got[k].n_confirmed > 0 for k in range(len(told))) >= 0.95 * len(told)
 
 
 def test_masking(spark):
