@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievework.storage import fresh_path, release
 from sievework.storage import store as materialize
 
-__all__ = ["BATCH_ROWS", "SPACE_CLASS", "WORD_PATTERN", "documents", "fresh_path", "materialize", "partitions", "release", "small_batches", "table"]
+__all__ = ["BATCH_ROWS", "SPACE_CLASS", "WORD_PATTERN", "documents", "fresh_path", "materialize", "partitions", "release", "remove", "small_batches", "table"]
 
 #: White space of every contract of this subpackage: space and \x09-\x0D, nothing else.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -33,3 +33,9 @@ def documents(docs: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete the files at ``path``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -47,6 +47,24 @@ def test_index_persists_and_new_data_is_held_against_it(spark):
     assert "SortMergeJoin" in plan and plan.rindex("Exchange") < plan.rindex("Scan ExistingRDD") < plan.rindex("index-test")  # none on the index's side
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_an_index_fed_in_parts_says_what_one_fed_at_once_does(spark, parts):
+    rng = random.Random(parts)
+    rows = [(k, rng.choice(["xx", "x x", "x  x", "y", " y", "", "own"]) + (str(k) if k % 9 == 0 else "")) for k in range(120)]
+    tables = {t.name for t in spark.catalog.listTables()}
+    want = sorted(map(tuple, exact_dedup.dedup(table(spark, rows)).collect()))
+    assert {t.name for t in spark.catalog.listTables()} == tables  # the query's own index is gone
+    index = exact_dedup.DigestIndex(spark, fresh_path(spark, "index-parts"), 4)
+    for k in range(parts):
+        last = exact_dedup.dedup(table(spark, rows[k::parts]), index)
+        last.count()
+    assert sorted(map(tuple, last.collect())) == [r for r in want if r[0] % parts == parts - 1]
+    read = index.read()
+    assert {r.keep_id: r.group_size for r in read.collect()} == {r[1]: r[2] for r in want}
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    index.drop()
+
+
 def test_hot_group_takes_the_broadcast_way(spark):
     rows = [(k, "same") for k in range(2000)] + [(10_000 + k, f"own {k}") for k in range(100)]
     got = exact_dedup.dedup(table(spark, rows)).groupBy("kept").count().collect()
