@@ -2,9 +2,9 @@
 
 A document's ids, with an end id, are cut into pieces of at most the capacity; only a longer document is cut, and its
 first piece takes what its length leaves over. Packing is planned on the number of pieces of each length, so the plan's
-size depends on the capacity and not on the corpus. From the longest length down, the gap beside a piece is looked up
-among the single lengths, the sums of two and the sums of three lengths in stock, and as many bins are closed at once
-as the stock of the rarest length in the combination allows. What finds no exact complement is packed best-fit
+size depends on the capacity and not on the corpus. From the longest length down, the gap beside a piece is looked up in
+an index of the single lengths and of the sums of two and three lengths in stock, and as many bins are closed at once
+as the stock of the rarest length in the combination allows; the index follows the stock. What finds no exact complement is packed best-fit
 decreasing, also by counts. Each piece then gets its rank among the pieces of its length, and the plan turns the rank
 into a sequence and an offset. Ranks are formed within hashed parts of a length, so a length that holds most pieces
 isn't sorted by one task.
@@ -24,45 +24,40 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.bpe import default_vocabulary
+from sievework.llm.bpe import WORDS, byte_letters, codec, default_vocabulary
 from sievework.llm.shared import documents, materialize, small_batches
 
 CAPACITY = 2048
 END_ID = 0
-#: Parts of a length that are ranked apart.
-PARTS = 64
-
-
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    made = Tokenizer.from_file(path)
-    made.no_truncation()
-    made.no_padding()
-    return made
+#: Pieces of a length that are ranked together, about.
+PART_ROWS = 100_000
 
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    """A function from a text to its ids: the same vocabulary and merges in a faster library if they can be read so."""
+    """A function from a text to its ids: the vocabulary in a fast library where that ranks merges as the file does, and
+    this package's codec for other vocabularies and for texts that the library's pattern gives up on."""
     import json
 
     import tiktoken
 
-    from sievework.llm.bpe import WORDS, byte_letters
-
     letters = byte_letters()
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    names = spec["model"]["vocab"]
+    merged = [names["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    plain = lambda text: list(next(iter(codec(path).encode([text]))))
+    if any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
+        return plain
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ranks = {bytes(letters[c] for c in name): i for name, i in spec["model"]["vocab"].items() if name not in special}
+    ranks = {bytes(letters[c] for c in name): i for name, i in names.items() if name not in special}
     fast = tiktoken.Encoding("pieces", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(text: str) -> list[int]:
-        if len(text) < 1_000_000:
+        try:
             return fast.encode(text, allowed_special="all", disallowed_special=())
-        return _tokenizer(path).encode(text, add_special_tokens=False).ids
+        except ValueError:  # its pattern ran out of room, as on very long runs of spaces
+            return plain(text)
 
     return ids
 
@@ -100,35 +95,51 @@ class Plan:
     sequences: int
 
 
-def _complement(gap: int, stock: np.ndarray) -> tuple[int, ...] | None:
-    """One, two or three lengths in stock that sum to ``gap``; the longest first."""
-    if gap < len(stock) and stock[gap]:
-        return (gap,)
-    pair = _pair(gap, stock)
-    if pair:
-        return pair
-    lengths = np.flatnonzero(stock[: max(gap - 1, 0)])
-    for x in lengths[::-1]:
-        stock[x] -= 1
-        pair = _pair(gap - x, stock[: x + 1])
-        stock[x] += 1
-        if pair:
-            return (int(x), *pair)
-        if 3 * x < gap:
-            break
-    return None
-
-
-def _pair(gap: int, stock: np.ndarray) -> tuple[int, int] | None:
-    top = min(gap - 1, len(stock) - 1)
-    low = (gap + 1) // 2
-    if top < low:
+class SumIndex:
+    """Which lengths in stock sum to a gap: one, two or three of them.
+
+    For each sum the index holds the greatest length that the stock can still complete. Stock only falls, so these places
+    only move down, and each step is taken once for a whole plan, whatever the number of gaps.
+    """
+
+    def __init__(self, stock: np.ndarray):
+        self.stock = stock
+        sums = np.arange(len(stock))
+        self.pairs, self.triples = sums - 1, sums - 2  # the greatest lengths that a sum of two or three can have
+
+    def _two(self, total: int, x: int, taken: tuple[int, ...]) -> bool:
+        """Whether ``x`` and its complement are in stock beside what is ``taken``."""
+        y = total - x
+        return all(self.stock[z] >= (x, y, *taken).count(z) for z in (x, y))
+
+    def pair(self, total: int, top: int, taken: tuple[int, ...]) -> tuple[int, int] | None:
+        """Two lengths of ``top`` at most, the greater one first."""
+        if total < 2:
+            return None
+        least = (total + 1) // 2
+        while self.pairs[total] >= least and not self._two(total, int(self.pairs[total]), ()):
+            self.pairs[total] -= 1
+        for x in range(min(int(self.pairs[total]), top), least - 1, -1):
+            if self.stock[x] and self._two(total, x, taken):
+                return x, total - x
         return None
-    x = np.arange(low, top + 1)
-    y = gap - x
-    found = (stock[x] > 0) & (stock[y] > 0) & ((x != y) | (stock[x] > 1))
-    at = np.flatnonzero(found)
-    return (int(x[at[-1]]), int(y[at[-1]])) if len(at) else None
+
+    def triple(self, total: int, taken: tuple[int, ...]) -> tuple[int, int, int] | None:
+        if total < 3:
+            return None
+        least = (total + 2) // 3
+        while self.triples[total] >= least and (not self.stock[self.triples[total]] or not self.pair(total - int(self.triples[total]), int(self.triples[total]), (int(self.triples[total]),))):
+            self.triples[total] -= 1
+        for x in range(int(self.triples[total]), least - 1, -1):
+            if self.stock[x] > taken.count(x) and (two := self.pair(total - x, x, (*taken, x))):
+                return x, *two
+        return None
+
+    def find(self, gap: int, taken: int) -> tuple[int, ...] | None:
+        """Lengths that exactly fill the gap beside a piece of the length ``taken``."""
+        if gap < len(self.stock) and self.stock[gap] > (gap == taken):
+            return (gap,)
+        return self.pair(gap, gap - 1, (taken,)) or self.triple(gap, (taken,))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
@@ -138,11 +149,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
         stock[length] = n
     patterns: list[tuple[tuple[int, ...], int]] = [((capacity,), int(stock[capacity]))]
     stock[capacity] = 0
+    index = SumIndex(stock)
     for a in range(capacity - 1, 0, -1):
         while stock[a]:
-            stock[a] -= 1
-            found = _complement(capacity - a, stock)
-            stock[a] += 1
+            found = index.find(capacity - a, a)
             if not found:
                 break
             uses: dict[int, int] = defaultdict(int)
@@ -184,14 +194,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return Plan({x: tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) for x, rows in runs.items()}, sequence)
 
 
-def ranked(cut: DataFrame) -> DataFrame:
-    """``cut`` with ``rank``: 0, 1, ... among the rows of each length."""
-    parts = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int"))
-    counted = parts.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))  # at most capacity * PARTS rows
+def ranked(cut: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``cut`` with ``rank``: 0, 1, ... among the rows of each length, of which ``counts`` has the numbers.
+
+    A length has as many parts as its number asks for, so that a part stays small however many pieces have one length.
+    """
+    of_length = cut.sparkSession.createDataFrame([(x, -(-n // PART_ROWS)) for x, n in counts.items()], "length long, parts long")  # capacity rows at most
+    parts = cut.join(F.broadcast(of_length), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("parts"))).drop("parts")
+    counted = parts.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))  # a row for PART_ROWS pieces, and one for each length
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece"))
-    return parts.withColumn("rank", within - 1).join(F.broadcast(starts), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("first")).drop("part", "first")
+    return parts.withColumn("rank", within - 1).join(starts, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("first")).drop("part", "first")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
@@ -217,4 +231,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked(cut).select(*columns, F.col("rank").cast("long").alias("rank")).mapInArrow(place, schema)
+    return ranked(cut, counts).select(*columns, F.col("rank").cast("long").alias("rank")).mapInArrow(place, schema)

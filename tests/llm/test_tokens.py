@@ -1,6 +1,7 @@
 """BPE, chat formatting and packing against the tokenizers library."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -130,8 +131,29 @@ def test_plans(capacity):
         assert least <= plan.sequences <= least + max(2, least // 50)
 
 
+def test_sum_index_finds_whatever_brute_force_does():
+    rng = random.Random(2)
+    for _ in range(60):
+        stock = np.array([0, *(rng.choice([0, 0, 0, 1, 2]) for _ in range(30))])
+        index = packing.SumIndex(stock)
+        for _ in range(25):
+            taken, gap = rng.randrange(1, 31), rng.randrange(1, 31)
+            if not stock[taken]:
+                continue
+            left = stock.copy()
+            left[taken] -= 1
+            lengths = [x for x in range(31) for _ in range(left[x])]
+            some = any(sum(c) == gap for k in (1, 2, 3) for c in itertools.combinations(lengths, k))
+            found = index.find(gap, taken)
+            assert (found is not None) == some
+            if found:
+                assert sum(found) == gap and all(left[x] >= found.count(x) for x in found)
+                for x in (taken, *found):
+                    stock[x] -= 1  # the index follows the stock
+
+
 def test_packing_query(spark, tokenizer):
-    texts = [*ODD, "word " * 5000, "q" * 3000, *(f"text number {k} " * k for k in range(40)), *ODD]
+    texts = [*ODD, " " * 1_100_000 + "a", "word " * 5000, "q" * 3000, *(f"text number {k} " * k for k in range(40)), *ODD]
     rows = packing.pack(table(spark, texts)).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
