@@ -167,14 +167,14 @@ class Trie:
 
 
 class Codec:
-    """Encodes and decodes texts; holds the words met so far."""
+    """Encodes and decodes texts; holds the words met so far. Without ``specials`` special strings are plain text."""
 
-    def __init__(self, path: str, max_words: int = MAX_WORDS):
+    def __init__(self, path: str, max_words: int = MAX_WORDS, specials: bool = True):
         self.vocabulary = Vocabulary(path)
         self.max_words = max_words
         self.trie = Trie(self.vocabulary)
         self.pattern = regex.compile(WORDS)
-        special = self.vocabulary.special
+        special = self.special = self.vocabulary.special if specials else {}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.known: dict[str, tuple[int, ...]] = {}
         self._anew()
@@ -204,7 +204,7 @@ class Codec:
 
     def _slices(self, text: str) -> Iterator[list[str] | int]:
         """Lists of words, and the id of each special string."""
-        special = self.vocabulary.special
+        special = self.special
         for piece in self.cut.split(text) if self.cut and any(s in text for s in special) else (text,):
             if piece in special:
                 yield special[piece]
@@ -261,9 +261,9 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
+def codec(path: str, specials: bool = True) -> Codec:
     """One for each Python worker; kept from task to task."""
-    return Codec(path)
+    return Codec(path, specials=specials)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

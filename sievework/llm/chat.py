@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.bpe import default_vocabulary
+from sievework.llm.bpe import codec, default_vocabulary
 from sievework.llm.shared import small_batches
 
 BEGIN, COLON, END = "### ", ": ", "</turn>\n"
@@ -49,24 +49,19 @@ class Template:
     """Formats turns as ids and reads them back."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are plain text
-        first = self.tokenizer.get_vocab_size()
+        self.codec = codec(path, specials=False)  # the strings of special tokens are plain text here
+        first = self.codec.vocabulary.size
         self.marks = {first: BEGIN, first + 1: COLON, first + 2: END}
         self.begin, self.colon, self.end = self.marks
 
     def format(self, turns: list[tuple[str, str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each turn the ids, the lengths of its five segments, and which of the segments count for the loss."""
-        encoded = self.tokenizer.encode_batch([escape(x) for turn in turns for x in turn], add_special_tokens=False)
+        encoded = list(self.codec.encode([escape(x) for turn in turns for x in turn]))
         out = []
         for k, (role, _) in enumerate(turns):
-            segments = [[self.begin], encoded[2 * k].ids, [self.colon], encoded[2 * k + 1].ids, [self.end]]
+            segments = [[self.begin], encoded[2 * k], [self.colon], encoded[2 * k + 1], [self.end]]
             lengths = np.array([len(x) for x in segments])
-            out.append((np.concatenate([np.array(x, dtype=np.int32) for x in segments]), lengths, np.array([False, False, False, role == LOSS_ROLE, False])))
+            out.append((np.array([i for x in segments for i in x], dtype=np.int32), lengths, np.array([False, False, False, role == LOSS_ROLE, False])))
         return out
 
     @staticmethod
@@ -79,16 +74,19 @@ class Template:
         return np.cumsum(steps)[:-1] > 0
 
     def decode(self, ids: np.ndarray) -> str:
-        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+        return self.codec.decode(ids.tolist())
 
     def read(self, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str | None, int]:
         """Role, text, the text under the mask (None without any) and the number of characters of the rendered turn."""
         at = np.flatnonzero(ids >= self.begin)
         if ids[at].tolist() != [self.begin, self.colon, self.end] or at[0] != 0 or at[2] != len(ids) - 1:
             raise ValueError("not one turn")
-        role, text = self.decode(ids[1 : at[1]]), self.decode(ids[at[1] + 1 : at[2]])
-        loss = unescape(self.decode(ids[mask])) if mask.any() else None
-        return unescape(role), unescape(text), loss, len(BEGIN + role + COLON + text + END)
+        spans = slice(1, at[1]), slice(at[1] + 1, at[2])
+        role, text = (self.decode(ids[x]) for x in spans)
+        under = [x for x, span in ((role, spans[0]), (text, spans[1])) if mask[span].any()]
+        if int(mask.sum()) != sum(int(x.stop - x.start) for x in spans if mask[x].any()):
+            raise ValueError("the mask cuts a segment")
+        return unescape(role), unescape(text), unescape("".join(under)) if under else None, len(BEGIN + role + COLON + text + END)
 
 
 @lru_cache(maxsize=2)
@@ -135,6 +133,24 @@ def read_turns(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame
     return formatted.select("conv_id", "turn", "ids", "lengths", "in_loss").mapInArrow(run, READ)
 
 
+def round_trip(conversations: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """Each turn formatted and read back from its ids and mask, in one pass."""
+    path = vocabulary or default_vocabulary()
+    small_batches(conversations.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            t = template(path)
+            formatted = t.format(list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)))
+            rows = [t.read(ids, t.mask(lengths, in_loss)) for ids, lengths, in_loss in formatted]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k] for r in rows], x) for k, x in enumerate(kinds))], ["conv_id", "turn", "role", "text", "loss", "formatted_chars"])
+
+    return _turns(conversations).mapInArrow(run, READ)
+
+
 def digests(read: DataFrame) -> DataFrame:
     """One row per conversation, formed over its turns in order."""
 
@@ -179,7 +195,7 @@ def with_escape_case(conversations: DataFrame) -> DataFrame:
 
 
 def chat_digests(conversations: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    return digests(read_turns(format_turns(conversations, vocabulary), vocabulary))
+    return digests(round_trip(conversations, vocabulary))
 
 
 ORACLE = r"""
