@@ -211,9 +211,14 @@ def _originals(listed: DataFrame) -> DataFrame:
     return listed.select("text", "own").mapInArrow(run, "digest long, original string")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages taken out of ``text``, and ``n_removed``, the characters taken out."""
+def dedup(docs: DataFrame, removed: str | None = "n_removed") -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text``, and the column ``removed``, the characters taken out.
+
+    Without ``removed`` there is no such column; a name that ``docs`` has already gets an underscore more.
+    """
     small_batches(docs.sparkSession)
+    while removed in docs.columns:
+        removed += "_"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     found = materialize(places(texts), "chunks")
     repeated = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
@@ -232,7 +237,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     some, rest = _split(whole, key, spans, F.col("_document"))
     touched = some.join(spans, key == F.col("_document"), "left").select("row", "_spans")
     names, at = docs.columns, docs.columns.index("text")
-    schema = StructType([*touched.schema["row"].dataType.fields, StructField("n_removed", LongType())])
+    schema = StructType([*touched.schema["row"].dataType.fields, *([StructField(removed, LongType())] if removed else [])])
 
     def equal(text: str, x: dict) -> bool:
         own = text[x["start"] : x["end"]]
@@ -246,10 +251,11 @@ def dedup(docs: DataFrame) -> DataFrame:
             texts = columns[at].to_pylist()
             out = [remove(t, [(x["start"], x["end"]) for x in spans.as_py() or () if equal(t, x)]) if t else t for t, spans in zip(texts, b.column(1), strict=True)]  # one row's spans at a time
             columns[at] = pa.array(out, pa.string())
-            removed = pa.array([len(t or "") - len(x or "") for t, x in zip(texts, out, strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*columns, removed], [*names, "n_removed"])
+            if removed:
+                columns.append(pa.array([len(t or "") - len(x or "") for t, x in zip(texts, out, strict=True)], pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, [*names, removed][: len(columns)])
 
-    left = rest.select("row.*", F.lit(0).cast("long").alias("n_removed"))
+    left = rest.select("row.*", *([F.lit(0).cast("long").alias(removed)] if removed else []))
     return touched.mapInArrow(run, schema).union(left)
 
 

@@ -179,6 +179,45 @@ def test_lines_brute(spark):
     assert sum(t.count(block.split("\n")[4]) for t in left) <= 3
 
 
+def test_repeated_windows_by_brute_force(spark):
+    """Passages of whole lines (2, 3, 5 and 10 of them) and of 50 to 120 words in other text, each planted in several
+    documents: of the words in 9-word windows that another document has too, and that aren't in a passage's first
+    place, nearly all go, and nothing else does. Knows nothing of chunks."""
+    rng = random.Random(12)
+    rows, planted = [], []
+    for k in range(48):
+        n = (2, 3, 5, 10, 0, 0)[k % 6]
+        passage = "\n".join(sentences(rng, n)) if n else " ".join(" ".join(sentences(rng, 14)).split()[: rng.randint(50, 120)])
+        planted.append(passage)
+        for _ in range(rng.randint(2, 4)):
+            before, after = "\n".join(sentences(rng, rng.randint(0, 5))), "\n".join(sentences(rng, rng.randint(0, 5)))
+            rows.append((len(rows), f"{before}\n{passage}\n{after}" if n else f"{before} {passage} {after}"))
+    rng.shuffle(rows)
+    left = {r.doc_id: r.text for r in line_dedup.dedup(table(spark, rows)).collect()}
+    texts, window = dict(rows), 9
+    first, places = {}, 0
+    for d in sorted(texts):
+        words = texts[d].split()
+        for k in range(len(words) - window + 1):
+            first.setdefault(tuple(words[k : k + window]), d)
+    stay = gone = 0
+    for d in sorted(texts):
+        words, kept = texts[d].split(), set(left[d].split())
+        again = set()
+        for k in range(len(words) - window + 1):
+            if first[tuple(words[k : k + window])] != d:
+                again.update(range(k, k + window))
+                places += 1
+        gone += sum(words[k] not in kept for k in again)
+        stay += sum(words[k] in kept for k in again)
+        foreign = [w for k, w in enumerate(words) if k not in again and w not in kept]
+        assert not foreign, (d, foreign[:5])
+    assert places > 2000 and gone >= 0.9 * (gone + stay), (gone, stay)
+    for n in (2, 3, 5, 10):
+        copies = [(sum(left[d].count(line) for d in left), sum(texts[d].count(line) for d in texts)) for k, p in enumerate(planted) if (2, 3, 5, 10, 0, 0)[k % 6] == n for line in p.split("\n")]
+        assert sum(after <= 1 for after, _ in copies) >= 0.9 * len(copies), n
+
+
 def test_own_lines_stay(spark):
     rng = random.Random(2)
     rows = [(k, "\n".join(sentences(rng, 6))) for k in range(20)]
