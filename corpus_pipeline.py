@@ -1,6 +1,7 @@
 """A training corpus from raw documents: quality rules, line dedup, near duplicates, secrets, packing.
 
-Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of documents,
+whatever others there are. It belongs to the optional part: without ``sievework.llm`` it can't be imported.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that another place has first; ``n_chars`` follows the text."""
-    return _recounted(line_dedup.dedup(docs).drop("n_removed"), docs)
+    return _recounted(line_dedup.dedup(docs, removed=None), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def _recounted(done: DataFrame, docs: DataFrame) -> DataFrame:
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else done
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns)) if "n_chars" in docs.columns else done
 
 
 STAGES = [
