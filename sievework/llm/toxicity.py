@@ -86,11 +86,6 @@ class Features:
             self.table[first : len(known)] = [word_cells(w) for w in new]
         return self.table[[known[w] for w in words]] if words else self.table[:0]
 
-    def all(self, text: str) -> np.ndarray:
-        """The cells of all features, some more than once."""
-        found = self.cells(list(set(WORD.findall(text.lower()))))
-        return found[found >= 0]
-
     def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The cells of all features in order, and how often each is in the text."""
         words = Counter(WORD.findall(text.lower()))
@@ -106,6 +101,48 @@ class Features:
         return every[first], np.add.reduceat(times[order], first)
 
 
+#: A cell is stored as its low 16 bits, after the numbers of cells by their high bits; a count as a byte, and those from 255 on apart.
+HIGH = CELLS >> 16
+VECTOR = "heads binary, lows binary, counts binary"
+
+
+def pack(cells: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """A vector of cells in order and their counts, in few bytes."""
+    heads = np.bincount(cells >> 16, minlength=HIGH).astype(np.uint32)
+    return heads.tobytes(), (cells & 0xFFFF).astype(np.uint16).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.uint32).tobytes()
+
+
+def unpack_cells(heads: bytes, lows: bytes) -> np.ndarray:
+    return np.repeat(np.arange(HIGH, dtype=np.int32) << 16, np.frombuffer(heads, np.uint32)) + np.frombuffer(lows, np.uint16)
+
+
+def unpack_counts(counts: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(counts, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(counts, np.uint32, -1 if len(counts) > n else 0, n if len(counts) > n else 0)
+    return out
+
+
+def unpacked(heads: bytes, lows: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    cells = unpack_cells(heads, lows)
+    return cells, unpack_counts(counts, len(cells))
+
+
+def vectors(texts: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` with the vector of ``text``."""
+    small_batches(texts.sparkSession)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*keep).schema), VECTOR])
+
+    def run(batches):
+        import pyarrow as pa
+
+        made = Features()
+        for b in batches:
+            found = [pack(*made.count(x)) for x in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array([x[k] for x in found], pa.binary()) for k in range(3))], [*keep, "heads", "lows", "counts"])
+
+    return texts.select(*keep, "text").mapInArrow(run, schema)
+
+
 def examples(docs: DataFrame, known: DataFrame) -> DataFrame:
     """``doc_id``, ``toxic`` and ``text`` of the bounded sample of labelled documents."""
     first = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES) for y in (0, 1)]
@@ -119,24 +156,23 @@ def learnt(labels: DataFrame) -> DataFrame:
     return known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many documents each cell is, and the number of documents. A task sends each cell once."""
-    small_batches(docs.sparkSession)
+def frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many vectors each cell is, and the number of vectors. A task sends each cell once."""
 
     def run(batches):
         import pyarrow as pa
 
-        made, total, n = Features(), np.zeros(CELLS, np.int64), 0
+        total, n = np.zeros(CELLS, np.int64), 0
         for b in batches:
-            for text in b.column(0).to_pylist():
-                total[made.all(text)] += 1  # once, however often a cell is listed
+            for heads, lows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[unpack_cells(heads, lows)] += 1
             n += b.num_rows
         at = np.flatnonzero(total)
         for k in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)].astype(np.int32)), pa.array(total[at[k : k + (1 << 16)]])], ["cell", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64())], ["cell", "n"])
 
-    summed = documents(docs).select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    summed = rows.select("heads", "lows").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
     cell, n = summed.column("cell").to_numpy(), summed.column("n").to_numpy()
     out = np.zeros(CELLS, np.int64)
     out[cell[cell >= 0]] = n[cell >= 0]
@@ -316,20 +352,11 @@ class Curve:
 
 def collect_sample(sample: DataFrame, idf: np.ndarray) -> Sample:
     """The vectors of the examples, in the order of their ids; 2 * EXAMPLES rows at most."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        made = Features()
-        for b in batches:
-            found = [made.count(x) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())], ["doc_id", "toxic", "cells", "counts"])
-
-    rows = sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, cells binary, counts binary").toArrow().sort_by("doc_id")
-    cells, counts = ([np.frombuffer(x, np.int32) for x in rows.column(c).to_pylist()] for c in ("cells", "counts"))
-    ends = np.cumsum([0, *map(len, cells)])
-    joined = lambda x: np.concatenate([np.zeros(0, np.int32), *x])
-    return Sample(rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy(), ends, joined(cells), joined(counts), idf)
+    rows = sample.toArrow().sort_by("doc_id")
+    cells = [unpack_cells(h, x) for h, x in zip(rows.column("heads").to_pylist(), rows.column("lows").to_pylist(), strict=True)]
+    counts = [unpack_counts(x, len(c)) for x, c in zip(rows.column("counts").to_pylist(), cells, strict=True)]
+    joined = lambda x: np.concatenate([np.zeros(0, np.int32), *x]).astype(np.int32)
+    return Sample(rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy(), np.cumsum([0, *map(len, cells)]), joined(cells), joined(counts), idf)
 
 
 def score(docs: DataFrame, labels: DataFrame, numbers: tuple[int, ...] = NEIGHBOURS, common: int = COMMON, block: int = BLOCK) -> DataFrame:
@@ -338,27 +365,28 @@ def score(docs: DataFrame, labels: DataFrame, numbers: tuple[int, ...] = NEIGHBO
     spark = docs.sparkSession
     docs = documents(docs)
     known = materialize(learnt(labels), "toxic-labels")
-    sample = materialize(examples(docs, known), "toxic-examples")
+    sample = materialize(vectors(examples(docs, known), "doc_id", "toxic"), "toxic-examples")
     counted = known.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
     sizes = {r["toxic"] for r in sample.select("toxic").distinct().collect()}
     rate = counted["toxic"] / counted["n"] if counted["n"] else 0.0
     small_batches(spark)
     if sizes != {0, 1}:
         return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(rate).alias("score"), F.lit(int(rate >= 0.5)).alias("predicted"), F.array().cast("array<long>").alias("evidence"), F.array().cast("array<double>").alias("cosines"))
-    frequency, n = frequencies(docs)
+    rows = materialize(vectors(docs, "doc_id"), "toxic-vectors")
+    frequency, n = frequencies(rows)
     made = replace(collect_sample(sample, (np.log((1 + n) / (1 + frequency)) + 1).astype(np.float32)), common=common, block=block)
     sent, key = spark.sparkContext.broadcast(made), uuid.uuid4().hex  # its size depends on the sample alone
 
     def own_votes(batches):
         import pyarrow as pa
 
-        index, features = _index(key, sent), Features()
+        index = _index(key, sent)
         for b in batches:
-            ids, vectors = b.column(0).to_pylist(), [features.count(x) for x in b.column(2).to_pylist()]
-            found = [index.votes(x, numbers) for k in range(0, len(ids), TEXTS) for x in index.nearest(vectors[k : k + TEXTS], max(numbers), ids[k : k + TEXTS])]
+            ids, held = b.column(0).to_pylist(), [unpacked(*x) for x in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            found = [index.votes(x, numbers) for k in range(0, len(ids), TEXTS) for x in index.nearest(held[k : k + TEXTS], max(numbers), ids[k : k + TEXTS])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "toxic", "votes"])
 
-    dealt = sample.select("doc_id", "toxic", "text").repartition(16, "doc_id")
+    dealt = sample.select("doc_id", "toxic", "heads", "lows", "counts").repartition(16, "doc_id")
     voted = dealt.mapInArrow(own_votes, "doc_id long, toxic int, votes array<double>").where("votes is not null").toArrow().sort_by("doc_id")
     votes, y = np.array(voted.column("votes").to_pylist()).reshape(-1, len(numbers)), voted.column("toxic").to_numpy().astype(float)
     curve = Curve.fit(votes, y, rate) if 0 < y.sum() < len(y) else None
@@ -368,7 +396,7 @@ def score(docs: DataFrame, labels: DataFrame, numbers: tuple[int, ...] = NEIGHBO
 
         import pyarrow as pa
 
-        index, features = _index(key, sent), Features()
+        index = _index(key, sent)
         seen: dict[bytes, tuple[float, list[int], list[float]]] = {}
 
         def told(near):
@@ -380,11 +408,10 @@ def score(docs: DataFrame, labels: DataFrame, numbers: tuple[int, ...] = NEIGHBO
             names, new = [], {}
             if len(seen) >= KNOWN_TEXTS:
                 seen.clear()
-            for text in b.column(1).to_pylist():
-                cells, counts = features.count(text)
-                names.append(hashlib.blake2b(cells.tobytes() + counts.tobytes(), digest_size=16).digest())
+            for packed in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                names.append(hashlib.blake2b(b"".join(packed), digest_size=16).digest())
                 if names[-1] not in seen:
-                    new[names[-1]] = cells, counts
+                    new[names[-1]] = unpacked(*packed)
             listed = list(new)
             for k in range(0, len(listed), TEXTS):
                 some = listed[k : k + TEXTS]
@@ -393,5 +420,5 @@ def score(docs: DataFrame, labels: DataFrame, numbers: tuple[int, ...] = NEIGHBO
             columns = [b.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([int(x[0] >= 0.5) for x in out], pa.int32()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "predicted", "evidence", "cosines"])
 
-    scored = docs.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>, cosines array<double>")
+    scored = rows.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>, cosines array<double>")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence", "cosines")

@@ -290,6 +290,15 @@ def cosine(a, b):
     return sum(x * b[c] for c, x in a.items() if c in b)
 
 
+def test_vectors_come_back_as_they_were_packed():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 3000):
+        cells = np.sort(rng.choice(toxicity.CELLS, n, replace=False)).astype(np.int32)
+        counts = rng.choice([1, 2, 254, 255, 256, 70_000], n).astype(np.int64)
+        back = toxicity.unpacked(*toxicity.pack(cells, counts))
+        assert back[0].tolist() == cells.tolist() and back[1].tolist() == counts.tolist()
+
+
 NUMBERS = (2, 5, 15)
 
 
