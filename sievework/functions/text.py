@@ -16,7 +16,7 @@ INSTANCE = r"^\s*(\d+)\s+of\s+(\d+)\s+(\d+)\s+(.*\S)"
 VARIABLE = "'(.*?)'"
 NUMBER = r"\b\d+\b"
 #: Words that say nothing about a path.
-GENERIC_TOKENS = "AF ALIVE BLK CORE CPU DOWN INST ISO ISP MEM NORMAL RAM REG ROM RTL SECU SECURE SENSOR SHUT TOP U".split()
+GENERIC_TOKENS = ("AF", "ALIVE", "BLK", "CORE", "CPU", "DOWN", "INST", "ISO", "ISP", "MEM", "NORMAL", "RAM", "REG", "ROM", "RTL", "SECU", "SECURE", "SENSOR", "SHUT", "TOP", "U")
 NO_VARIABLE = "NO_VAR"
 MERGE_SEGMENT, MERGE_SLOT = 4, 6
 

@@ -195,12 +195,23 @@ def cosine_components(spark, sf_dir):
 
 
 def component_rollup(spark, sf_dir):
-    return _vector_clusters(spark, sf_dir).groupBy("label", "component").agg(F.count(F.lit(1)).alias("members"), F.sum("vec_id").alias("ids"), F.max("vec_id").alias("last"))
+    """Super groups of vector clusters, in the order and with the names of the results."""
+    placed = _vector_clusters(spark, sf_dir).withColumn("gid", F.col("vec_id"))
+    made = {"rule_id": F.concat(F.lit("R"), "label"), "template": F.concat(F.lit("t"), F.col("gid") % 5), "pattern": F.concat(F.lit("'v"), F.col("gid") % 3, F.lit("'")), "total_count": F.col("gid") % 7 + 1}
+    own = store(placed.withColumns(made), "placed-groups")
+    supers = rollup.super_groups(own.select("rule_id", "gid", "template", "pattern", "total_count"), own.select("gid", "component"))
+    return rollup.output_super_groups(supers).select("group_type", "group_id", "rule_id", "representative_template", "total_count", "merged_variants_count", F.col("seq").cast("long").alias("seq"))
+
+
+def by_first_letter(texts):
+    """An embedder for which texts are near if they begin alike."""
+    return [[float(ord(t[:1] or " ") % 32 == k) for k in range(32)] for t in texts]
 
 
 def template_only_clusters(spark, sf_dir):
-    by = _vector_clusters(spark, sf_dir).groupBy("label", "component").agg(F.count(F.lit(1)).alias("n"))
-    return by.groupBy("label").agg(F.count(F.lit(1)).alias("clusters"), F.max("n").alias("largest"))
+    """Clusters of parts by the vectors of their types alone."""
+    parts = read(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type").select(F.col("p_brand").alias("rule_id"), F.col("p_partkey").cast("long").alias("gid"), F.col("p_type").alias("template"), F.lit("'x'").alias("pattern"))
+    return distance.template_clusters(parts, by_first_letter).select("rule_id", "gid", "component")
 
 
 def _part_items(spark, sf_dir):
@@ -310,9 +321,17 @@ def distance_report(spark, sf_dir):
     return evaluate.annotated_pairs(known, truth, EPS)
 
 
+def text_sizes(texts):
+    """An embedder whose vectors are told by the text."""
+    return [[float(len(t)), 1.0] for t in texts]
+
+
 def distinct_texts(spark, sf_dir):
-    rows = read(spark, sf_dir, "conversations", "text").where("text is not null")
-    return embed.distinct_texts(rows).select(F.md5("text").alias("text_md5"), "uses")
+    """Each distinct text is embedded once, and its rows get its vector."""
+    rows = read(spark, sf_dir, "conversations", "conv_id", "text").where("text is not null")
+    placed = embed.with_vectors(rows, embed.embed_texts(rows, text_sizes, 64))
+    told = placed.groupBy("text").agg(F.count(F.lit(1)).alias("placed"), F.max(F.get("vector", F.lit(0))).alias("first"))
+    return embed.distinct_texts(rows).join(told, "text").select(F.md5("text").alias("text_md5"), "uses", "placed", "first")
 
 
 CONFIG = Config(rules={"CLI_0001": Rule(0.04, 0.0, {0: Variable(0.7, (-3,)), 1: Variable(1.0)}), "VIE_0002": Rule(0.5, 0.2, {0: Variable(0.7, match_mode="jaccard")})})
@@ -398,8 +417,8 @@ ORACLES: dict[str, str] = {
     "jaccard_pairs": f"WITH n AS (SELECT DISTINCT p_brand, p_name FROM part) SELECT x.p_brand, x.p_name AS a, y.p_name AS b, round(1 - {JACCARD.format('x.p_name', 'y.p_name')}, 6)::DOUBLE AS dist FROM n x JOIN n y ON x.p_brand = y.p_brand AND x.p_name < y.p_name",
     "cosine_pairs": f"WITH {COSINE} SELECT label, i, j, dist FROM near",
     "cosine_components": f"WITH RECURSIVE {COSINE}, {_reach('near', 'vs')} SELECT id AS vec_id, component FROM comp",
-    "component_rollup": f"WITH RECURSIVE {COSINE}, {_reach('near', 'vs')} SELECT label, component, count(*) AS members, sum(vec_id)::BIGINT AS ids, max(vec_id) AS last FROM embeddings JOIN comp ON vec_id = id GROUP BY 1, 2",
-    "template_only_clusters": f"WITH RECURSIVE {COSINE}, {_reach('near', 'vs')}, z AS (SELECT label, component, count(*) AS n FROM embeddings JOIN comp ON vec_id = id GROUP BY 1, 2) SELECT label, count(*) AS clusters, max(n) AS largest FROM z GROUP BY 1",
+    "component_rollup": f"WITH RECURSIVE {COSINE}, {_reach('near', 'vs')}, g AS (SELECT 'R' || label AS rule_id, component, vec_id, vec_id % 7 + 1 AS n FROM embeddings JOIN comp ON vec_id = id), s AS (SELECT rule_id, component, sum(n)::BIGINT AS total_count, count(*) AS merged_variants_count, first('t' || (vec_id % 5) ORDER BY n DESC, vec_id) AS representative_template FROM g GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (ORDER BY total_count DESC, component) AS seq FROM s) SELECT 'ai_super' AS group_type, rule_id || '::ai::' || lpad(seq::VARCHAR, 6, '0') AS group_id, rule_id, representative_template, total_count, merged_variants_count, seq FROM o",
+    "template_only_clusters": "SELECT p_brand AS rule_id, p_partkey::BIGINT AS gid, min(p_partkey::BIGINT) OVER (PARTITION BY p_brand, left(p_type, 1)) AS component FROM part",
     "weighted_distance": f"WITH p AS (SELECT p_brand, p_name, p_type, p_size > 10 AS big, min(p_partkey) AS gid FROM part GROUP BY ALL), q AS (SELECT a.p_brand, a.gid AS i, b.gid AS j, 1 - {JACCARD.format('a.p_name', 'b.p_name')} AS d0, (a.p_type <> b.p_type)::DOUBLE AS d1, a.big AND b.big AS m FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.gid < b.gid), z AS (SELECT *, CASE WHEN m THEN (0.3::DOUBLE * d0 + 0.7::DOUBLE * d1) / (0.3::DOUBLE + 0.7::DOUBLE) ELSE d0 END AS d FROM q) SELECT p_brand, i, j, round(d, 6)::DOUBLE AS dist FROM z WHERE d <= 0.21",
     "merged_patterns": rf"""WITH {RECORDS}, n AS (SELECT rule_id, count(*) AS n, min_by(pattern, first_seen) AS first_one FROM g GROUP BY 1),
       s AS (SELECT rule_id, first_seen AS ord, regexp_split_to_array(trim(pattern), '\s+/\s+') AS a FROM g WHERE pattern NOT IN ('', 'NO_VAR')), u AS (SELECT rule_id, ord, unnest(range(len(a))) AS slot, unnest(a) AS core FROM s),
@@ -430,5 +449,5 @@ ORACLES: dict[str, str] = {
       SELECT leaf, greatest(0.001::DOUBLE, round(CASE WHEN near IS NULL THEN far WHEN far IS NULL THEN greatest(0.001, near * 0.5) WHEN far < near THEN (far + near) / 2 WHEN share >= 0.5 THEN far ELSE greatest(0.001, near * 0.5) END, 3))::DOUBLE AS eps FROM s""",
     "grid_search_topk": f"WITH RECURSIVE {COSINE}, gs AS (SELECT unnest([0.6, 0.7, 0.75, 0.8, 0.85])::DOUBLE AS eps), gp AS (SELECT eps, i, j FROM gs JOIN cp ON dist <= eps), gn AS (SELECT eps, vec_id AS id FROM gs, embeddings), {_reach('gp', 'gn', 'eps')}, rw AS (SELECT eps, label AS truth, component AS predicted FROM embeddings JOIN comp ON vec_id = id), {_counted('rw', 'eps')}, {_scored('counted', 'eps', 6)} SELECT eps, tp, fp, fn, precision, recall, f1 FROM out ORDER BY f1 DESC, precision DESC, eps LIMIT 3",
     "distance_report": f"WITH {COSINE} SELECT i, j, dist, dist <= {EPS} AS merge, true AS gt_same_cluster FROM cp WHERE dist <= 0.9",
-    "distinct_texts": "SELECT md5(text) AS text_md5, count(*) AS uses FROM conversations WHERE text IS NOT NULL GROUP BY text",
+    "distinct_texts": "SELECT md5(text) AS text_md5, count(*) AS uses, count(*) AS placed, length(text)::DOUBLE AS first FROM conversations WHERE text IS NOT NULL GROUP BY text",
 }

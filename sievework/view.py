@@ -39,36 +39,34 @@ class Console:
 
 
 def show_results(console: Console, path: str, run: dict | None, groups: DataFrame, top: int = 50) -> None:
-    """The run, totals, and the first ``top`` groups in the file's order."""
+    """What the file holds, how it was made, and its first ``top`` groups, a line for each and its logs under it."""
     from pyspark.sql import functions as F
 
     whole = groups.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("total_count"), F.lit(0)).alias("logs")).first()
     shown = min(whole["n"], max(0, top))
-    console.section("Analysis report")
-    for key, value in (("File", path), ("Schema version", 2 if run else 1), ("Total logs", f"{whole['logs']:,}"), ("Groups", f"{whole['n']:,}"), ("Top shown", f"{shown:,}")):
-        console.pair(key, value)
+    console.section(f"{path}: {whole['n']} groups of {whole['logs']} logs")
+    console.pair("format", 2 if run else 1)
     if run:
-        console.section("Run metadata")
-        for key, name in (("Timestamp (UTC)", "timestamp_utc"), ("Log file", "log_file"), ("Template file", "template_file")):
+        for key, name in (("made at", "timestamp_utc"), ("from log", "log_file"), ("with templates", "template_file")):
             if run.get(name):
                 console.pair(key, run[name])
-        for key, name in (("Parsed logs", "parsed_logs"), ("Logic groups", "logic_groups"), ("Final groups", "final_groups")):
-            console.pair(key, run["counts"][name])
-        console.pair("AI enabled", run["ai"]["enabled"])
-        console.pair("AI backend", run["ai"].get("backend") or "N/A")
+        counts = run["counts"]
+        console.pair("logs > logic > final", f"{counts['parsed_logs']} > {counts['logic_groups']} > {counts['final_groups']}")
+        console.pair("second stage", (run["ai"].get("backend") or "on") if run["ai"]["enabled"] else "off")
         for text in run["ai"].get("warnings") or ():
             console.warn(text)
     for place, g in enumerate(groups.orderBy("pos").limit(shown).toLocalIterator(), 1):
-        console.section(f"[{place:02d}] {g['rule_id'] or 'UNKNOWN'}")
         logs = g["original_logs"] or []
-        for key, value in (("Group type", g["group_type"] or "logic"), ("Count", f"{g['total_count'] or 0:,}"), ("Merged variants", g["merged_variants_count"] or 1), ("Pattern", g["representative_pattern"] or "N/A"), ("Template", g["representative_template"] or "N/A"), ("Original logs", len(logs))):
-            console.pair(key, value)
+        console.section(f"{place}. {g['rule_id'] or '?'} x {g['total_count'] or 0}")
+        console.pair(g["group_type"] or "logic", g["representative_pattern"] or "-")
+        console.pair("template", g["representative_template"] or "-")
+        console.pair("variants, logs kept", f"{g['merged_variants_count'] or 1}, {len(logs)}")
         for log in logs[:PREVIEW]:
-            console.info(f"- {log}")
+            console.info(f"    {log}")
         if len(logs) > PREVIEW:
-            console.info(f"... (+{len(logs) - PREVIEW:,} more)")
+            console.info(f"    and {len(logs) - PREVIEW} others")
     if whole["n"] > shown:
-        console.info(f"... omitted {whole['n'] - shown:,} groups (use --top to increase)")
+        console.info(f"{whole['n'] - shown} groups are not shown; --top sets how many are")
 
 
 def scores_table(scores: DataFrame) -> str:
@@ -78,10 +76,10 @@ def scores_table(scores: DataFrame) -> str:
     return "\n".join(lines)
 
 
-def distances_text(pairs: DataFrame, eps: float, top: int = 200) -> str:
-    """Pairs by distance with a line where the threshold lies."""
+def distances_text(pairs: DataFrame, eps: float) -> str:
+    """All pairs by distance with a line where the threshold lies."""
     lines, marked = [], False
-    for r in pairs.orderBy("dist", "i", "j").limit(top).toLocalIterator():
+    for r in pairs.orderBy("dist", "i", "j").toLocalIterator():
         if not marked and r["dist"] > eps:
             lines.append(f"---- eps {eps} ----")
             marked = True

@@ -169,7 +169,7 @@ def test_levels(spark):
     truth = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1)], "gid long, cluster long")
     signals = levels.level_signals(paths, truth)
     assert [r.signal for r in signals.orderBy("level").collect()] == ["constant", "constant", "signal", "signal", "noise"]
-    assert levels.recommendations(signals).first().recommendation == "levels=[-3, -2] (signal only, strips noise at levels [-1])"
+    assert levels.recommendations(signals).first().recommendation == "take levels [-3, -2]; within labelled clusters [-1] differ"
 
 
 def test_search_finds_the_level(spark):
