@@ -80,11 +80,6 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("representative"))
 
 
-def _identity(bucket, low48: np.ndarray) -> np.ndarray:
-    """A shingle's number after dealing: from its range and its low 48 bits."""
-    return mix(low48 ^ (np.asarray(bucket, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-
-
 def _ranges(x: np.ndarray, n: int) -> np.ndarray:
     return ((x >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
@@ -126,22 +121,20 @@ def _deal(docs: DataFrame, n_ranges: int) -> DataFrame:
         often = np.zeros(len(tokens), dtype=bool)
         often[order] = np.repeat(times >= FREQUENT, times)
         bucket = _ranges(tokens, n_ranges)
-        low = tokens & np.uint64(2**48 - 1)
         yield {"bucket": turn % n_ranges, "kind": 3, "base": base, "docs": np.array([d for d, _ in held], dtype=np.int64).tobytes(), "sizes": sizes.tobytes()}
         plain = np.flatnonzero(~often)
         plain = plain[np.argsort(bucket[plain], kind="stable")]  # by range, and within it by set
         edges = _runs(bucket[plain])
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             at = plain[x:y]
-            yield {"bucket": int(bucket[at[0]]), "kind": 0, "base": base, "low": low[at].astype(np.uint32).tobytes(), "high": (low[at] >> np.uint64(32)).astype(np.uint16).tobytes()} | _narrow(owner[at])
+            yield {"bucket": int(bucket[at[0]]), "kind": 0, "base": base, "low": tokens[at].astype(np.uint32).tobytes(), "high": (tokens[at] >> np.uint64(32)).astype(np.uint32).tobytes()} | _narrow(owner[at])
         frequent = np.flatnonzero(often)
         if len(frequent):
             first = order[starts[:-1][times >= FREQUENT]]
-            names = _identity(bucket[first], low[first])
             for b in np.unique(bucket[first]):
-                yield {"bucket": int(b), "kind": 1, "base": base, "tokens": names[bucket[first] == b].tobytes()}
+                yield {"bucket": int(b), "kind": 1, "base": base, "tokens": tokens[first[bucket[first] == b]].tobytes()}
             for k, at in enumerate(np.array_split(frequent, 1 + len(frequent) // 100_000)):
-                yield {"bucket": (turn + k) % n_ranges, "kind": 2, "base": base, "tokens": _identity(bucket[at], low[at]).tobytes()} | _narrow(owner[at])
+                yield {"bucket": (turn + k) % n_ranges, "kind": 2, "base": base, "tokens": tokens[at].tobytes()} | _narrow(owner[at])
 
     def run(batches):
         import pyarrow as pa
@@ -203,8 +196,8 @@ def _owners(n_parts: int):
 
         kinds = table.column("kind")
         plain, marks, passed, listed = (table.filter(pc.equal(kinds, k)) for k in range(4))
-        low = _read(plain, "low", np.uint32).astype(np.uint64) | _read(plain, "high", np.uint16).astype(np.uint64) << np.uint64(32)
-        tokens, refs = _identity(table.column("bucket")[0].as_py(), low), _refs(plain)
+        tokens = _read(plain, "low", np.uint32).astype(np.uint64) | _read(plain, "high", np.uint32).astype(np.uint64) << np.uint64(32)
+        refs = _refs(plain)
         order = np.argsort(tokens, kind="stable")
         tokens, refs = tokens[order], refs[order]
         times = np.diff(_runs(tokens))
