@@ -10,14 +10,17 @@ meet as often as the smaller k of the two asks for.
 2. Batches of sets are dealt out by ranges of shingles. There, shingles of one set alone are dropped; they can't be
    shared (:func:`_owners`). A shingle that is frequent within a batch isn't sent to one place: its owners go straight
    on, and only a mark goes to the range, after which it counts as frequent everywhere and comes last in the order.
+   What counts as frequent falls with the number of batches, so one shingle never fills a range (:func:`_often`).
 3. Dealt out by document, the shared shingles show which documents have 75 % of theirs shared at all; only these go on,
    with their prefixes (:func:`_candidates`).
 4. Of each shingle's documents the one whose shingles are the most common leads. Each document is verified against the
    leader that it meets most. These links join most copies of a large group at a cost in proportion to its size.
 5. Shingles whose documents are in different components yet connect regions (:func:`_regions`). A region's documents
-   meet in blocks of bounded size, every two of its blocks in one group (:func:`_meet`). There, documents that meet
-   often enough and aren't joined yet are verified; what comes out is a link for each joining of components, not each
-   pair. Components of all links are the result.
+   meet in blocks of bounded size, every two of its blocks in one group (:func:`_meet`). A region of more than
+   ``MOST_BLOCKS`` blocks isn't met as a whole: its documents meet by the first document of each shared shingle, or,
+   where even these are too many, by the shingle itself (:func:`_blocks`). Documents that meet often enough and aren't
+   joined yet are verified; what comes out is a link for each joining of components, not each pair. Components of all
+   links are the result.
 
 Results for odd input: a null or empty text has no shingles and its own id as component; a null ``doc_id`` is linked
 with nothing and has a null component; repeated rows have equal sets, so they fall into one class; rows that share a
@@ -42,12 +45,14 @@ from sievework.operators.components import components
 PERCENT = 75
 #: Shingles that a worker holds before it deals them out, and about how many a range of them has.
 BATCH_SHINGLES = 1_000_000
-#: Sets of a batch with a shingle from which on the shingle counts as frequent everywhere.
+#: Sets of a batch with a shingle from which on the shingle counts as frequent everywhere; less with very many batches.
 FREQUENT = 64
 #: The number of a shingle's sets goes on as a byte, this many steps to each doubling; the last one is for frequent ones.
 STEPS, FREQUENT_STEP = 8, 255
 #: Shingles of a block of documents.
 BLOCK_SHINGLES = 1_000_000
+#: The most blocks whose documents meet two by two only because they are of one region.
+MOST_BLOCKS = 16
 #: The most meetings asked for, and the cost of a verification in shingles met.
 MOST_MEETINGS, VERIFY_COST = 8, 64
 
@@ -108,7 +113,15 @@ def _schema(ddl: str):
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
 
 
+def _often(n_batches: int) -> int:
+    """Sets of a batch from which on a shingle is frequent. A shingle under that in every batch brings a range at most
+    as many references as a batch has shingles, or one for each batch where there are more batches than that."""
+    return max(2, min(FREQUENT, BATCH_SHINGLES // n_batches))
+
+
 def _deal(docs: DataFrame, n_ranges: int) -> DataFrame:
+    frequent_from = _often(n_ranges)
+
     def flush(held: list[tuple[int, np.ndarray]], base: int, turn: int):
         """Rows of kind 0: shingles of a range with their sets; 1: frequent shingles of a range; 2: frequent shingles
         with their sets; 3: the documents of the batch's sets. Sets are numbered from ``base``."""
@@ -119,7 +132,7 @@ def _deal(docs: DataFrame, n_ranges: int) -> DataFrame:
         starts = _runs(tokens[order])
         times = np.diff(starts)
         often = np.zeros(len(tokens), dtype=bool)
-        often[order] = np.repeat(times >= FREQUENT, times)
+        often[order] = np.repeat(times >= frequent_from, times)
         bucket = _ranges(tokens, n_ranges)
         yield {"bucket": turn % n_ranges, "kind": 3, "base": base, "docs": np.array([d for d, _ in held], dtype=np.int64).tobytes(), "sizes": sizes.tobytes()}
         plain = np.flatnonzero(~often)
@@ -130,7 +143,7 @@ def _deal(docs: DataFrame, n_ranges: int) -> DataFrame:
             yield {"bucket": int(bucket[at[0]]), "kind": 0, "base": base, "low": tokens[at].astype(np.uint32).tobytes(), "high": (tokens[at] >> np.uint64(32)).astype(np.uint32).tobytes()} | _narrow(owner[at])
         frequent = np.flatnonzero(often)
         if len(frequent):
-            first = order[starts[:-1][times >= FREQUENT]]
+            first = order[starts[:-1][times >= frequent_from]]
             for b in np.unique(bucket[first]):
                 yield {"bucket": int(b), "kind": 1, "base": base, "tokens": tokens[first[bucket[first] == b]].tobytes()}
             for k, at in enumerate(np.array_split(frequent, 1 + len(frequent) // 100_000)):
@@ -362,22 +375,35 @@ class _Postings:
 
 
 def _blocks(open_: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents of ``open_`` once for each group that they meet in: ``region``, ``x``, ``y``.
+    """The documents of ``open_`` once for each group that they meet in: ``level``, ``key``, ``x``, ``y``.
 
-    Small regions share groups. A large region is cut into blocks by a hash, and a document goes to a group for each
-    block, its own included.
+    Any two documents that share an open shingle are in one group at least. Keys are regions; of regions with more than
+    ``MOST_BLOCKS`` blocks, the first documents of shingles; of such documents with too many blocks, the shingles. Small
+    keys share groups. A larger one is cut into blocks by a hash, and a document goes to a group for each block, its own
+    included. So a document is copied ``MOST_BLOCKS`` times at most for its region, and beyond that for what it meets.
     """
-    regions = _regions(open_.select("token", "doc_id"))
-    placed = open_.select("doc_id", "component").distinct().join(regions, "doc_id").join(found.drop("common"), "doc_id")
-    placed = materialize(placed.withColumn("size", (F.length("tokens") / 8).cast("long")), "placed")
-    sizes = placed.groupBy("region").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).alias("blocks"), F.sum("size").alias("whole"))
-    total = sizes.agg(F.sum("whole").alias("n")).first()["n"] or 0
+    first = open_.groupBy("token").agg(F.min("doc_id").alias("first"))
+    sized = found.groupBy("doc_id").agg(F.sum(F.length("tokens") / 8).cast("long").alias("size"))
+    rest = open_.select("token", "doc_id", "component").join(_regions(open_.select("token", "doc_id")), "doc_id").join(sized, "doc_id").join(first, "token")
+    rest = materialize(rest, "open-sized")
+    placed = None
+    for level, key in enumerate(("region", "first", "token")):
+        own = rest.select(F.lit(level).alias("level"), F.col(key).alias("key"), "doc_id", "component", "size").distinct()
+        sizes = materialize(own.groupBy("key").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).alias("blocks")), "block-sizes")
+        met = own.join(sizes.where(F.col("blocks") <= MOST_BLOCKS) if key != "token" else sizes, "key")
+        placed = met if placed is None else placed.unionByName(met)
+        large = sizes.where(F.col("blocks") > MOST_BLOCKS).select(F.col("key").alias(key))
+        if key == "token" or large.isEmpty():
+            break
+        rest = rest.join(large, key, "left_semi")
+    placed = materialize(placed, "placed")
+    total = placed.where("blocks <= 1").agg(F.sum("size").alias("n")).first()["n"] or 0
     bins = max(1, -(-total // BLOCK_SHINGLES))
-    dealt = placed.join(sizes.drop("whole"), "region")
-    few = dealt.where("blocks <= 1").withColumns({"region": -1 - F.pmod(F.xxhash64("region"), F.lit(bins)), "x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
-    many = dealt.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    few = placed.where("blocks <= 1").withColumns({"key": F.pmod(F.xxhash64("level", "key"), F.lit(bins)), "level": F.lit(-1), "x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
+    many = placed.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     many = many.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("own", "other")
-    return few.unionByName(many).drop("size", "blocks")
+    dealt = few.unionByName(many).select("level", "key", "x", "y", "doc_id", "component").distinct()
+    return dealt.join(found.drop("common"), "doc_id")
 
 
 def links(found: DataFrame) -> DataFrame:
@@ -393,7 +419,7 @@ def links(found: DataFrame) -> DataFrame:
     placed = materialize(placed, "meetings")
     mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
     open_ = materialize(placed.join(mixed, "token", "left_semi"), "open")
-    rest = _blocks(open_, found).groupBy("region", "x", "y").applyInArrow(_meet, MET)
+    rest = _blocks(open_, found).groupBy("level", "key", "x", "y").applyInArrow(_meet, MET)
     return star.unionByName(rest)
 
 

@@ -103,6 +103,7 @@ def test_near_duplicates(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BATCH_SHINGLES", 3000)
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", [500, 4000][seed % 2])
     monkeypatch.setattr(jaccard_join, "FREQUENT", [5, 10_000][seed // 2 % 2])
+    monkeypatch.setattr(jaccard_join, "MOST_BLOCKS", [1, 16][seed % 2])
     rng = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(400)]
     texts = []
@@ -121,6 +122,51 @@ def test_near_duplicates(spark, seed, monkeypatch):
     assert near(spark, rows) == brute(rows)
 
 
+def chain(rng, n, width=60, step=15):
+    """Texts of which each shares words with the next ones, half of them near the threshold: one region without end."""
+    words = [f"c{rng.randrange(10**6)}" for _ in range(n * step + width)]
+    texts = [words[k * step : k * step + width] for k in range(n)]
+    texts += [t[: width - 3] + [f"x{k}"] + t[width - 2 :] for k, t in enumerate(texts[::2])]
+    return list(enumerate(" ".join(t) for t in texts))
+
+
+def test_a_region_that_percolates_is_not_met_as_a_square(spark, monkeypatch):
+    """Beyond ``MOST_BLOCKS`` documents meet by shared shingles: no group grows with the region, and no link is lost."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(jaccard_join, "MOST_BLOCKS", 2)
+    seen, blocks = {}, jaccard_join._blocks
+
+    def watched(open_, found):
+        dealt = blocks(open_, found)
+        n = open_.select("doc_id").distinct().count()
+        seen[n] = (dealt.count(), dealt.groupBy("level", "key", "x", "y").count().agg(F.max("count")).first()[0], {r.level for r in dealt.select("level").distinct().collect()})
+        return dealt
+
+    monkeypatch.setattr(jaccard_join, "_blocks", watched)
+    for n in (30, 90):
+        rows = chain(random.Random(n), n)
+        assert near(spark, rows) == brute(rows)
+    (small, few), (large, many) = sorted((n, x) for n, x in seen.items())
+    assert many[1] <= 2 * few[1], (few, many)  # a group's documents
+    assert many[0] / large <= 2 * few[0] / small, (few, many)  # copies of a document
+
+
+def test_a_shingle_in_every_text_does_not_fill_a_range(spark, monkeypatch):
+    """However many batches there are, and with no batch in which it is frequent by itself."""
+    monkeypatch.setattr(jaccard_join, "BATCH_SHINGLES", 100)
+    rng = random.Random(7)
+    rows = [(k, "the same nine words stand in every one text " + " ".join(f"o{rng.randrange(10**9)}" for _ in range(12))) for k in range(240)]
+    rows += [(1000 + k, rows[k][1] + " tail") for k in range(0, 240, 40)]
+    n = sum(size for size, _ in brute(rows).values()) // 100
+    dealt = jaccard_join._deal(table(spark, rows), n).where("kind = 0").select("low", "high").collect()
+    times = defaultdict(int)
+    for r in dealt:
+        for low, high in zip(*(memoryview(x).cast("I") for x in (r.low, r.high)), strict=True):
+            times[low, high] += 1
+    assert max(times.values()) <= max(100, n) < 240
+    assert near(spark, rows) == brute(rows)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert near(spark, []) == {}
     got = jaccard_join.near_duplicates(table(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (3, "a b c d e f")]))
