@@ -108,9 +108,11 @@ def block_distances(left: list, right: list) -> np.ndarray:
     return weighted_mean(slots, [w for _, _, w in slots], (len(left), len(right)))
 
 
-def forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The places of pairs that join what pairs before them haven't: as good as all of them for components."""
-    top: dict[int, int] = {}
+def forest(i: np.ndarray, j: np.ndarray, top: dict[int, int] | None = None) -> np.ndarray:
+    """The places of pairs that join what pairs before them haven't: as good as all of them for components.
+
+    ``top`` holds what earlier calls have joined."""
+    top = {} if top is None else top
 
     def find(x: int) -> int:
         while top.get(x, x) != x:
@@ -127,6 +129,20 @@ def forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.array(kept, dtype=np.int64)
 
 
+def joining(pairs: DataFrame) -> DataFrame:
+    """Of the pairs ``i``, ``j`` in each partition as many as components need, which is fewer than its items."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        top: dict[int, int] = {}
+        for b in batches:
+            kept = forest(b.column("i").to_numpy(), b.column("j").to_numpy(), top)
+            yield b.take(pa.array(kept, pa.int64()))
+
+    return pairs.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).mapInArrow(run, "i long, j long")
+
+
 def dealt_blocks(items: DataFrame, key: str, gid: str, block: int) -> DataFrame:
     """``items`` once for each two blocks of their key that they belong to: ``x``, ``y``, and the block ``own``."""
     sizes = items.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))

@@ -38,11 +38,13 @@ def group_clusters(groups: DataFrame, config: Config | None, embedder: Embedder)
         near = distance.pairs(distance.items(rest, config, embedder), distance.thresholds(rest, config), links_only=True).select("i", "j")
         for r in by_tree:
             rule = config.rules[r]
-            near = near.unionByName(features.tree_pairs(open_.where(F.col("rule_id") == r), rule.pairwise_tree).where(F.col("dist") <= rule.eps).select("i", "j"))
+            near = near.unionByName(distance.joining(features.tree_pairs(open_.where(F.col("rule_id") == r), rule.pairwise_tree).where(F.col("dist") <= rule.eps)))
         for r in scaled:
             own = open_.where(F.col("rule_id") == r)
-            base = distance.pairs(distance.items(own, config, embedder))
-            near = near.unionByName(features.adaptive_pairs(own, base, config.rules[r].adaptive_eps_tree).where("dist <= 1.0").select("i", "j"))
+            tree = config.rules[r].adaptive_eps_tree
+            greatest = max(n["value"] for n in tree.nodes if "value" in n) * (1 + 1e-9)  # no leaf merges pairs beyond it
+            base = distance.pairs(distance.items(own, config, embedder), own.select("rule_id").distinct().withColumn("eps", F.lit(float(greatest))))
+            near = near.unionByName(distance.joining(features.adaptive_pairs(own, base, tree).where("dist <= 1.0")))
     joined = components(near.select(F.col("i").alias("a"), F.col("j").alias("b")))
     return groups.select("gid").join(joined.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
 

@@ -255,8 +255,7 @@ def pairwise_tree(spark, sf_dir):
 def adaptive_eps(spark, sf_dir):
     own = _part_groups(spark, sf_dir)
     words = own.withColumn("words", T.bare_token_set(F.element_at(F.split("pattern", "/"), -1)))
-    side = lambda c: words.select("rule_id", F.col("gid").alias(c), F.col("words").alias(f"w{c}"))
-    base = side("i").join(side("j"), "rule_id").where("i < j").select("rule_id", "i", "j", T.jaccard_distance(F.col("wi"), F.col("wj")).alias("dist"))
+    base = features.meeting(words.select("rule_id", "gid", "words")).select("rule_id", "i", "j", T.jaccard_distance(F.col("i_words"), F.col("j_words")).alias("dist"))
     scaled = features.adaptive_pairs(own, base, SCALE_TREE)
     return scaled.groupBy("rule_id").agg(F.count_if(F.col("dist") <= 1.0).alias("merged"), F.round(F.sum("dist"), 4).alias("total"))
 

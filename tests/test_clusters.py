@@ -1,6 +1,7 @@
 """Distances, components, trees, merged patterns, scores, levels, searches."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -95,6 +96,79 @@ def test_adaptive_scaling(spark):
     assert got == {(0, 1): pytest.approx(2.0), (0, 2): pytest.approx(0.4)}
 
 
+def test_pairs_of_blocks_are_all_pairs_once(spark):
+    rows = spark.createDataFrame([("R", k, f"t{k}") for k in range(23)] + [("S", 50, "a"), ("S", 51, "b"), ("T", 60, "c")], "rule_id string, gid long, t string")
+    expected = sorted([("R", i, j, f"t{i}", f"t{j}") for i in range(23) for j in range(i + 1, 23)] + [("S", 50, 51, "a", "b")])
+    for block in (1000, 4):
+        got = features.meeting(rows, block).select("rule_id", "i", "j", "i_t", "j_t").collect()
+        assert sorted(map(tuple, got)) == expected
+
+
+def test_tfidf_blocks_and_wanted_pairs(spark, monkeypatch):
+    """Against dense vectors; ids of letters, documents without grams, and slabs of a few grams."""
+    monkeypatch.setattr(features, "SLAB", 5)
+    docs = [("R", f"g{k:02}", t) for k, t in enumerate(["ab cde", "abc cde", "xyz", "", "cdef ab ab", "AB  CDE"])] + [("S", "g00", "ab cde"), ("S", "g09", "ab")]
+
+    def grams(t):
+        out = []
+        for w in t.lower().split():
+            w = f" {w} "
+            for n in range(3, 7):
+                out += [w[k : k + n] for k in range(max(1, len(w) - n + 1))]
+                if len(w) <= n:
+                    break
+        return out
+
+    expected = {}
+    for r in "RS":
+        own = {g: grams(t) for rule, g, t in docs if rule == r}
+        df = {x: sum(x in v for v in own.values()) for v in own.values() for x in v}
+        vector = {g: {x: v.count(x) * (math.log((1 + len(own)) / (1 + df[x])) + 1) for x in v} for g, v in own.items()}
+        length = {g: math.sqrt(sum(w * w for w in v.values())) or 1 for g, v in vector.items()}
+        for i in own:
+            for j in own:
+                if i < j:
+                    expected[r, i, j] = sum(w * vector[j].get(x, 0) for x, w in vector[i].items()) / length[i] / length[j]
+    table = spark.createDataFrame(docs, "rule_id string, gid string, doc string")
+    for block in (1000, 2):
+        every = {(x.rule_id, x.i, x.j): x.f for x in features.similarities(table, 3, 6, "f", block=block).collect()}
+        assert every == {k: pytest.approx(v, abs=1e-12) for k, v in expected.items()}
+        some = spark.createDataFrame([(*k, 0.5) for k in list(expected)[::2]], "rule_id string, i string, j string, dist double")
+        got = {(x.rule_id, x.i, x.j): (x.f, x.dist) for x in features.similarities(table, 3, 6, "f", some, block).collect()}
+        assert got == {k: (pytest.approx(expected[k], abs=1e-12), 0.5) for k in list(expected)[::2]}
+
+
+def test_joining_pairs_keep_components(spark):
+    pairs = spark.createDataFrame([(i, j) for i in range(20) for j in range(i + 1, 20) if i % 3 == j % 3], "i long, j long").repartition(2)
+    kept = distance.joining(pairs)
+    assert kept.count() < 40
+    parts = {r.component for r in components(kept.select(F.col("i").alias("a"), F.col("j").alias("b"))).collect()}
+    assert parts == {0, 1, 2}
+
+
+def test_bundled_adaptive_tree_end_to_end(spark):
+    """Rule DES_0001 with the bundled configuration: groups merge exactly where distance and leaf of the pair say so."""
+    config = C.parse_config(C.BUNDLED)
+    paths = [f"top/u_core/u_bank{b}/u_dp/data_reg_{k}/q" for b in range(3) for k in "ab"] + ["chip/io_ring/pad_ctl/mode_latch/q", "chip/io_ring/pad_ctl/mode_latch/d"]
+    own = spark.createDataFrame([("DES_0001", k, p, "Signal <VAR>", 1, k) for k, p in enumerate(paths)], "rule_id string, gid long, pattern string, template string, total_count long, first_seen long")
+    tree = config.rules["DES_0001"].adaptive_eps_tree
+    base = distance.pairs(distance.items(own, config, embed.hashing(16)))
+    known = features.pair_features(own, tree.features, base).collect()
+    assert len(known) == len(paths) * (len(paths) - 1) // 2
+
+    def leaf(row, node=0):
+        n = tree.nodes[node]
+        return n["value"] if "value" in n else leaf(row, n["left"] if row[f"f{n['feature']}"] <= n["threshold"] else n["right"])
+
+    top = list(range(len(paths)))
+    for r in known:
+        if r.dist / leaf(r) <= 1.0:
+            a, b = sorted((top[r.i], top[r.j]))
+            top = [a if x == b else x for x in top]
+    got = {r.gid: r.component for r in pipeline.group_clusters(own, config, embed.hashing(16)).collect()}
+    assert got == dict(enumerate(top)) and 1 < len(set(top)) < len(paths)
+
+
 def test_suffix_similarity_brute(spark):
     def brute(a, b, s=3, decay=0.65):
         best = 0.0
