@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.operators import distance, features, rollup
-from sievework.operators.components import components
 from sievework.operators.config import Config
 from sievework.operators.embed import Embedder
 from sievework.operators.logic import logic_groups, original_logs, output_groups
@@ -30,12 +29,12 @@ def group_clusters(groups: DataFrame, config: Config | None, embedder: Embedder)
     several = groups.groupBy("rule_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     open_ = groups.join(several, "rule_id")
     if config is None:
-        near = distance.pairs(distance.items(open_, Config(default_template_weight=1.0), embedder), distance.thresholds(open_, Config()), links_only=True).select("i", "j")
+        near, placed = distance.linked(open_, Config(default_template_weight=1.0), embedder)
     else:
         by_tree = [r for r, x in config.rules.items() if x.pairwise_tree]
         scaled = [r for r, x in config.rules.items() if x.adaptive_eps_tree and not x.pairwise_tree]
         rest = open_.where(~F.col("rule_id").isin(by_tree + scaled)) if by_tree or scaled else open_
-        near = distance.pairs(distance.items(rest, config, embedder), distance.thresholds(rest, config), links_only=True).select("i", "j")
+        near, placed = distance.linked(rest, config, embedder)
         for r in by_tree:
             rule = config.rules[r]
             near = near.unionByName(distance.joining(features.tree_pairs(open_.where(F.col("rule_id") == r), rule.pairwise_tree).where(F.col("dist") <= rule.eps)))
@@ -45,8 +44,7 @@ def group_clusters(groups: DataFrame, config: Config | None, embedder: Embedder)
             greatest = max(n["value"] for n in tree.nodes if "value" in n) * (1 + 1e-9)  # no leaf merges pairs beyond it
             base = distance.pairs(distance.items(own, config, embedder), own.select("rule_id").distinct().withColumn("eps", F.lit(float(greatest))))
             near = near.unionByName(distance.joining(features.adaptive_pairs(own, base, tree).where("dist <= 1.0")))
-    joined = components(near.select(F.col("i").alias("a"), F.col("j").alias("b")))
-    return groups.select("gid").join(joined.withColumnRenamed("node", "gid"), "gid", "left").withColumn("component", F.coalesce("component", "gid"))
+    return distance.cluster(groups.select("gid"), near, placed)
 
 
 def run(records: DataFrame, config: Config | None = None, embedder: Embedder | None = None, ai: str = "auto", most_logs: int = 0, warn: Callable[[str], None] = lambda _: None) -> tuple[DataFrame, bool]:

@@ -72,6 +72,22 @@ def test_weighted_distance(spark, block):
     assert got[1, 2] == pytest.approx(0.3 * cosine + 0.7 * (1 - 1 / 3))
 
 
+def test_equal_texts_meet_once(spark, monkeypatch):
+    """Groups with the same texts are one item, in clusters by the library and in those of the whole way."""
+    met = []
+    items = distance.items
+    monkeypatch.setattr(distance, "items", lambda own, *more: (met.append(own.count()), items(own, *more))[1])
+    texts = ["a", "a b", "c d", ""]
+    own = groups(spark, [f"p{k % 2}" for k in range(400)], template=[texts[k % 3] for k in range(400)]).unionByName(groups(spark, ["x"] * 5, rule="S", template=texts[2]).withColumn("gid", F.col("gid") + 1000))
+    expected = {k: k % 3 if k % 3 == 2 else 0 for k in range(400)} | {1000 + k: 1000 for k in range(5)}
+    assert {r.gid: r.component for r in distance.template_clusters(own, axes, 0.3).collect()} == expected
+    assert met == [4]
+    config = C.Config(rules={"R": C.Rule(0.3, 1.0, {0: C.Variable(0.01, match_mode="jaccard")})}, default_template_weight=1.0)
+    quoted = own.withColumn("pattern", F.concat(F.lit("'"), "pattern", F.lit("'")))
+    assert {r.gid: r.component for r in pipeline.group_clusters(quoted, config, axes).collect()} == expected
+    assert met == [4, 7]  # by template and pattern
+
+
 def test_no_common_slot_merges(spark):
     config = C.Config(rules={"R": C.Rule(0.1, 0.0, {1: C.Variable(1.0, match_mode="jaccard")})})
     got = distance.pairs(distance.items(groups(spark, ["a", "b / c"]), config, axes)).collect()
