@@ -1,10 +1,9 @@
 """Quality rules: counts of a text's form, and a hashed n-gram log-likelihood ratio.
 
 A text's words and pairs of neighbouring words are hashed to a fixed number of cells. Over these cells two multinomials
-are estimated, one from a trusted target (a bounded, hash-ordered sample of documents labelled as good) and one from
-the whole raw corpus. A text's score is the sum of its cells' log ratios divided by their number; a text is kept if it
-passes the base rules and its score isn't under the threshold. Log ratios are whole millionths, so a sum doesn't depend
-on its order. Everything is DataFrame functions: the words are exploded and joined with the table of cells, whose size
+are estimated, one from a trusted target (all documents labelled as good) and one from the whole raw corpus. A text's
+score is the sum of its cells' log ratios divided by their number; a text is kept if it passes the base rules and its
+score isn't under the threshold. Log ratios are whole millionths, so a sum doesn't depend on its order. Everything is DataFrame functions: the words are exploded and joined with the table of cells, whose size
 is fixed, and what is exploded is summed by row before any exchange.
 
 Results for odd input: a null or empty text has no words, fails the base rules and has no score; repeated rows are
@@ -22,8 +21,6 @@ from sievework.llm.shared import SPACE_CLASS, WORD_PATTERN, documents, materiali
 
 #: Cells of the hashed n-grams; the table that is broadcast has as many rows at most.
 CELLS = 1 << 17
-#: Documents of the trusted target at most.
-TARGET_ROWS = 4096
 #: Mean log ratio, in nats an n-gram, under which a text is more like the rest of the corpus than like the target.
 THRESHOLD = -0.25
 #: Added to each cell of either multinomial.
@@ -70,17 +67,17 @@ def duplicate_lines(text: Column) -> Column:
     return _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text`` with the hashes of the ``words`` and of ``pairs`` of neighbouring words."""
-    words = documents(docs).select("doc_id", "text", F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)).alias("words"))
-    one = words.select("doc_id", "text", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
-    return one.select("doc_id", "text", "words", neighbours(F.col("words"), 1).alias("pairs"))
+def hashed(texts: DataFrame) -> DataFrame:
+    """``texts`` with the hashes of the ``words`` of ``text`` and of ``pairs`` of neighbouring words."""
+    words = texts.select("*", F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)).alias("words"))
+    one = words.select(*texts.columns, F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    return one.select("*", neighbours(F.col("words"), 1).alias("pairs"))
 
 
 def base(docs: DataFrame) -> DataFrame:
     """The counts of each text; the hashes stay for what follows."""
     n = F.size("words").cast("long")
-    counted = hashed(docs).select(
+    counted = hashed(documents(docs)).select(
         "doc_id", "words", "pairs", n.alias("n_words"),
         F.length(F.regexp_replace("text", SPACE_CLASS + "+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -93,8 +90,7 @@ def base(docs: DataFrame) -> DataFrame:
 def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``cell`` and ``ratio``: the logarithm of target over raw frequency, in millionths."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    target = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS).withColumn("trusted", F.lit(1))
-    flagged = hashed(docs).join(F.broadcast(target), "doc_id", "left")
+    flagged = hashed(documents(docs).join(good.withColumn("trusted", F.lit(1)), "doc_id", "left"))  # if Spark has to deal rows out, then texts, not hashes
     grams = flagged.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(F.concat("words", "pairs")).alias("gram"))
     counts = grams.groupBy(F.pmod("gram", F.lit(CELLS)).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
     counts = materialize(counts, "cells")

@@ -75,6 +75,19 @@ def test_quality_brute(spark):
             assert r.score is None and not r.kept
 
 
+def test_every_document_labelled_as_good_is_of_the_target(spark):
+    n = 5000
+    docs = table(spark, [(k, f"w{k % 50} v{k % 7}" if k < n else f"x{k % 40} y") for k in range(n + 100)])
+    labels = spark.createDataFrame([(k, int(k < n)) for k in range(n + 100)], "doc_id long, quality int")
+    raw, target = Counter(), Counter()
+    for r in docs.collect():
+        raw.update(c := cells(r.text))
+        target.update(c if r.doc_id < n else [])
+    share = lambda c, total: (c + quality.SMOOTHING) / (total + quality.SMOOTHING * quality.CELLS)
+    expected = {k: math.log(share(target[k], target.total()) / share(raw[k], raw.total())) * quality.MILLION for k in raw}
+    assert {r.cell: r.ratio for r in quality.log_ratios(docs, labels).collect()} == {k: pytest.approx(v, abs=1) for k, v in expected.items()}
+
+
 def test_quality_without_labels(spark):
     docs = table(spark, [(1, "some words " * 3 + " ".join(f"w{k}" for k in range(30)))])
     none = spark.createDataFrame([], "doc_id long, quality int")
