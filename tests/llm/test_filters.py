@@ -256,6 +256,23 @@ def test_planted_formats_are_found_by_their_format_alone(spark):
     assert sum(got[k].n_confirmed > 0 for k in range(len(told))) >= 0.95 * len(told)
 
 
+def test_automata_are_of_all_values(spark):
+    rng, make = maker(12)
+    keys = [make(CAPITALS + DIGITS, rng.randint(16, 24)) for _ in range(1300)] + [make(CAPITALS + DIGITS, 150)]
+    words = sorted({w for w in prose(rng, 6000) if w.isalpha()})
+    assert len(words) > 1500
+    texts = [f"key token={k}" for k in keys] + [" ".join(words[k : k + 20]) for k in range(0, len(words), 20)] * 2
+    found = secrets.findings(table(spark, list(enumerate(texts))).select(F.struct("doc_id").alias("row"), "text"))
+    got = secrets.fit(found.localCheckpoint())
+    assert got.credential.total[0] >= len(keys)  # the root, and whatever leads back to it
+    assert np.all(got.credential.following == secrets.Automaton(keys).following)
+    held = {r.value for r in spark.createDataFrame([(w,) for w in words], "value string").where(f"pmod(xxhash64(value), {secrets.HELD}) = 0").collect()}
+    own = secrets.Automaton([w for w in words if w not in held])
+    assert got.background.moves == own.moves and np.all(got.background.following == own.following)
+    ratios = sorted(got.score(w)[0] for w in held)
+    assert got.threshold == max(0.0, ratios[math.ceil((1 - secrets.FALSE_RATE) * len(ratios)) - 1])
+
+
 def test_masking(spark):
     docs = table(spark, [(1, "a password=abcdefghijkl12 b AKIA0123456789ABCD c"), (2, None), (3, ""), (4, "clean text")])
     got = {r.doc_id: r.text for r in secrets.masked(docs).collect()}
