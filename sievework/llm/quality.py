@@ -3,8 +3,9 @@
 A text's words and pairs of neighbouring words are hashed to a fixed number of cells. Over these cells two multinomials
 are estimated, one from a trusted target (all documents labelled as good) and one from the whole raw corpus. A text's
 score is the sum of its cells' log ratios divided by their number; a text is kept if it passes the base rules and its
-score isn't under the threshold. Log ratios are whole millionths, so a sum doesn't depend on its order. Everything is DataFrame functions: the words are exploded and joined with the table of cells, whose size
-is fixed, and what is exploded is summed by row before any exchange.
+score isn't under the threshold. Log ratios are whole millionths, so a sum doesn't depend on its order. Everything is
+DataFrame functions: the words are exploded and joined with the table of cells, whose size is fixed, and what is exploded
+is summed by row before any exchange. Of the texts only those that may be of the target are dealt out, to meet their labels.
 
 Results for odd input: a null or empty text has no words, fails the base rules and has no score; repeated rows are
 judged one by one; without labels, or without any labelled as good, the score is 0 for all texts and the base rules
@@ -21,6 +22,8 @@ from sievework.llm.shared import SPACE_CLASS, WORD_PATTERN, documents, materiali
 
 #: Cells of the hashed n-grams; the table that is broadcast has as many rows at most.
 CELLS = 1 << 17
+#: Bits of the set of hashed ids that tells which documents may be of the target, 64 of them in a row of its broadcast table.
+BITS = 1 << 24
 #: Mean log ratio, in nats an n-gram, under which a text is more like the rest of the corpus than like the target.
 THRESHOLD = -0.25
 #: Added to each cell of either multinomial.
@@ -87,11 +90,28 @@ def base(docs: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", failed)
 
 
+def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``text`` of every row, and ``trusted``: 1 if it is labelled as good, else 0.
+
+    Only rows whose hashed id is also one of a good label are dealt out for the join, always by a merge of sorted ids. The
+    set of hashed ids has a fixed size; the fuller it gets, the more rows go to the join, and the result is the same.
+    """
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    place, within = F.floor(bit / 64).cast("int"), (bit % 64).cast("int")
+    found = good.select(place.alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), within).alias("bits"))
+    bits = materialize(found.groupBy("place").agg(F.bit_or("bits").alias("bits")), "good-bits")
+    told = documents(docs).withColumn("place", place).join(F.broadcast(bits), "place", "left")
+    told = told.select("doc_id", "text", F.coalesce(F.getbit("bits", within), F.lit(0)).alias("maybe"))
+    others = told.where("maybe = 0").select("text", F.lit(0).alias("trusted"))
+    met = told.where("maybe = 1").join(good.withColumn("trusted", F.lit(1)).hint("merge"), "doc_id", "left")
+    return others.unionByName(met.select("text", F.coalesce("trusted", F.lit(0)).alias("trusted")))
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``cell`` and ``ratio``: the logarithm of target over raw frequency, in millionths."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    flagged = hashed(documents(docs).join(good.withColumn("trusted", F.lit(1)), "doc_id", "left"))  # if Spark has to deal rows out, then texts, not hashes
-    grams = flagged.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(F.concat("words", "pairs")).alias("gram"))
+    flagged = hashed(trusted(docs, labels))
+    grams = flagged.select("trusted", F.explode(F.concat("words", "pairs")).alias("gram"))
     counts = grams.groupBy(F.pmod("gram", F.lit(CELLS)).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
     counts = materialize(counts, "cells")
     whole = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target")).first()

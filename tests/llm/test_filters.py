@@ -88,6 +88,38 @@ def test_every_document_labelled_as_good_is_of_the_target(spark):
     assert {r.cell: r.ratio for r in quality.log_ratios(docs, labels).collect()} == {k: pytest.approx(v, abs=1) for k, v in expected.items()}
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def dealt(spark) -> int:
+    """Bytes that all stages so far wrote to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_outside_the_target_are_not_dealt_out(spark, no_broadcast):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(k, rng.randbytes(50_000).hex()) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 2)) for k in range(100)], "doc_id long, quality int")
+    before = dealt(spark)
+    quality.log_ratios(docs, labels).collect()
+    assert dealt(spark) - before < 40 * 100_000 / 4
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 10])
+def test_a_full_set_of_ids_changes_nothing(spark, monkeypatch, bits):
+    docs = spark.createDataFrame([(k or None, f"w{k} w{k % 7} common") for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(250)] + [(None, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "BITS", bits)
+    got = sorted((r.text, r.trusted) for r in quality.trusted(docs, labels).collect())
+    assert got == sorted((f"w{k} w{k % 7} common", int(0 < k < 250 and k % 3 == 0)) for k in range(300))
+
+
 def test_quality_without_labels(spark):
     docs = table(spark, [(1, "some words " * 3 + " ".join(f"w{k}" for k in range(30)))])
     none = spark.createDataFrame([], "doc_id long, quality int")
