@@ -11,6 +11,8 @@ meet as often as the smaller k of the two asks for.
    shared (:func:`_owners`). A shingle that is frequent within a batch isn't sent to one place: its owners go straight
    on, and only a mark goes to the range, after which it counts as frequent everywhere and comes last in the order.
    What counts as frequent falls with the number of batches, so one shingle never fills a range (:func:`_often`).
+   Ranges are dealt in ``PASSES`` passes over the texts, and only the shared shingles of a pass are kept, so that not all
+   shingles are on disk at once.
 3. Dealt out by document, the shared shingles show which documents have 75 % of theirs shared at all; only these go on,
    with their prefixes (:func:`_candidates`).
 4. Of each shingle's documents the one whose shingles are the most common leads. Each document is verified against the
@@ -27,7 +29,7 @@ with nothing and has a null component; repeated rows have equal sets, so they fa
 ``doc_id`` count as one document in links. An empty table gives an empty result. Sets are compared by 64-bit hashes; texts are read whole.
 
 The documents should come from stored files, as sets are numbered by their place in a split: a split that is read again
-after a loss has to give its rows in the same order.
+in another pass, or after a loss, has to give its rows in the same order.
 """
 
 from __future__ import annotations
@@ -38,13 +40,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.shared import documents, materialize, small_batches
+from sievework.llm.shared import discard, documents, materialize, small_batches
 from sievework.llm.shingles import mix, shingles
 from sievework.operators.components import components
 
 PERCENT = 75
 #: Shingles that a worker holds before it deals them out, and about how many a range of them has.
 BATCH_SHINGLES = 1_000_000
+#: Passes over the texts in which ranges of shingles are dealt out.
+PASSES = 2
 #: Sets of a batch with a shingle from which on the shingle counts as frequent everywhere; less with very many batches.
 FREQUENT = 64
 #: The number of a shingle's sets goes on as a byte, this many steps to each doubling; the last one is for frequent ones.
@@ -119,7 +123,8 @@ def _often(n_batches: int) -> int:
     return max(2, min(FREQUENT, BATCH_SHINGLES // n_batches))
 
 
-def _deal(docs: DataFrame, n_ranges: int) -> DataFrame:
+def _deal(docs: DataFrame, n_ranges: int, turn_of: int = 0, passes: int = 1) -> DataFrame:
+    """Shingles of the ranges of pass ``turn_of``; batches' documents in the first. Batches are the same in each pass."""
     frequent_from = _often(n_ranges)
 
     def flush(held: list[tuple[int, np.ndarray]], base: int, turn: int):
@@ -128,13 +133,17 @@ def _deal(docs: DataFrame, n_ranges: int) -> DataFrame:
         arrays = [s for _, s in held]
         sizes = np.array([len(s) for s in arrays], dtype=np.uint32)
         tokens, owner = np.concatenate(arrays), np.repeat(np.arange(len(held)), sizes)
+        bucket = _ranges(tokens, n_ranges)
+        if passes > 1:
+            own = bucket * passes // n_ranges == turn_of
+            tokens, owner, bucket = tokens[own], owner[own], bucket[own]
         order = np.argsort(tokens, kind="stable")
         starts = _runs(tokens[order])
         times = np.diff(starts)
         often = np.zeros(len(tokens), dtype=bool)
         often[order] = np.repeat(times >= frequent_from, times)
-        bucket = _ranges(tokens, n_ranges)
-        yield {"bucket": turn % n_ranges, "kind": 3, "base": base, "docs": np.array([d for d, _ in held], dtype=np.int64).tobytes(), "sizes": sizes.tobytes()}
+        if turn_of == 0:
+            yield {"bucket": turn % n_ranges, "kind": 3, "base": base, "docs": np.array([d for d, _ in held], dtype=np.int64).tobytes(), "sizes": sizes.tobytes()}
         plain = np.flatnonzero(~often)
         plain = plain[np.argsort(bucket[plain], kind="stable")]  # by range, and within it by set
         edges = _runs(bucket[plain])
@@ -288,11 +297,16 @@ def _candidates(table):
 
 
 def candidates(docs: DataFrame, n_shingles: int) -> DataFrame:
-    """Documents that may link, one for each set of a batch, with the shared shingles and the prefix of each."""
+    """Documents that may link, one for each set of a batch, with the shared shingles and the prefix of each, stored."""
     n = max(1, -(-n_shingles // BATCH_SHINGLES))
     small_batches(docs.sparkSession)
-    owned = _deal(docs, n).groupBy("bucket").applyInArrow(_owners(n), OWNED)
-    return owned.groupBy("bucket").applyInArrow(_candidates, CANDIDATE)
+    passes, owned = min(PASSES, n), None
+    for k in range(passes):
+        shared = materialize(_deal(docs, n, k, passes).groupBy("bucket").applyInArrow(_owners(n), OWNED), "owned")
+        owned = shared if owned is None else owned.unionByName(shared)
+    found = materialize(owned.groupBy("bucket").applyInArrow(_candidates, CANDIDATE), "candidates")
+    discard(owned)
+    return found
 
 
 def verify(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -427,7 +441,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
     rows = materialize(sets(docs), "shingle-sets")
     total = rows.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
-    found = materialize(candidates(docs, total), "candidates")
+    found = candidates(docs, total)
     joined = components(links(found)).select(F.col("node").alias("representative"), "component")
     grouped = classes(rows).join(joined, "representative", "left").select("digest", F.coalesce("component", "representative").alias("component_id"))
     placed = rows.join(grouped, "digest", "left")

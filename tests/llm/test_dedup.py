@@ -1,8 +1,10 @@
 """Exact, line and near-duplicate removal against brute force."""
 
 import hashlib
+import os
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -167,6 +169,41 @@ def test_a_shingle_in_every_text_does_not_fill_a_range(spark, monkeypatch):
     assert near(spark, rows) == brute(rows)
 
 
+def test_shingles_are_not_all_on_disk_at_once(spark, monkeypatch):
+    """Ranges are dealt pass by pass, what a pass shuffled goes with it, and each table of shared shingles in the end."""
+    monkeypatch.setattr(jaccard_join, "BATCH_SHINGLES", 2000)
+    rng = random.Random(11)
+    rows = [(k, " ".join(f"o{rng.randrange(10**9)}" for _ in range(100))) for k in range(400)]
+    rows += [(1000 + k, rows[k][1] + " tail") for k in range(0, 400, 4)]
+    local = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    on_disk = lambda: sum(os.path.getsize(os.path.join(at, f)) for d in local for at, _, files in os.walk(d) for f in files if f.endswith(".data"))
+    seen, stored, made = [], jaccard_join.materialize, {}
+
+    def watched(df, tag):
+        before = on_disk()
+        out = stored(df, tag)
+        time.sleep(1)  # files are removed behind the query
+        seen.append((tag, on_disk() - before))
+        made.setdefault(tag, []).append(out)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", watched)
+    assert near(spark, rows) == brute(rows)
+    assert [t for t, _ in seen].count("owned") == 2
+    assert max(size for tag, size in seen if tag in ("owned", "candidates")) <= 0
+    assert not any(os.path.exists(f.removeprefix("file://")) for x in made["owned"] for f in x.inputFiles())
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_passes_change_nothing(spark, monkeypatch, passes):
+    monkeypatch.setattr(jaccard_join, "BATCH_SHINGLES", 500)
+    monkeypatch.setattr(jaccard_join, "PASSES", passes)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 6)
+    rows = chain(random.Random(3), 60)
+    rows += [(1000 + k, t) for k, t in rows[:20]]
+    assert near(spark, rows) == brute(rows)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert near(spark, []) == {}
     got = jaccard_join.near_duplicates(table(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (3, "a b c d e f")]))
